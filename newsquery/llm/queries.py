@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .token_counts import token_counts
 
 
@@ -12,5 +13,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_counts": op4_token_counts}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_token_counts": op4_token_counts, "op9_best_fit_packing": op9_best_fit_packing}
 ORACLES: dict[str, str] = {}
