@@ -37,7 +37,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, so lost executors cost no recomputation."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[path] = back
+    return back
+
+
+_written: dict[str, DataFrame] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of materialised frames that nothing reads any more."""
+    for path in [p for p, df in _written.items() if any(df is x for x in frames)]:
+        spark = _written.pop(path).sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release() -> None:
+    """Deletes all materialised frames: for a caller that has written every result built on them."""
+    discard(*_written.values())
+
+
+# --- bitmaps: sets of bounded size that tasks test against ------------------------------------
+
+
+def buckets(column, bits: int):
+    """The bit of a value: by its 64-bit hash."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+
+def bitmap(df: DataFrame, bucket, bits: int) -> np.ndarray:
+    """The set of a frame's buckets as 2^bits bits: that is its size, whatever the frame's.
+
+    Values may share a bit, so a test can only say "perhaps" or "no". The driver gets each set bucket once.
+    """
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for batch in df.select(bucket.cast("int").alias("bucket")).distinct().toArrow().to_batches():
+        at = batch.column(0).to_numpy()
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def held_out(doc_id) -> F.Column:
@@ -158,7 +200,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = materialise(small.filter("u <> v").distinct(), "stars")
+        before, now = now, materialise(small.filter("u <> v").distinct(), "stars")
+        discard(before)
         last, mark = mark, _checksum(now)
         if mark == last:
             break

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import held_out, table
+from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .token_counts import token_counts
 
@@ -15,6 +16,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
