@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import held_out, table
+from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .packing import pack_documents
 from .token_counts import token_counts
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -36,5 +41,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
