@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, pii, toxicity
 from .common import held_out, table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicates
@@ -18,6 +18,15 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: The key of the registered query only; a deployment passes its own.
+PII_KEY = "newsquery-demonstration-key"
+
+
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("found").alias("n_replaced"), F.array_join(F.array_sort(F.col("found.kind")), ",").alias("kinds"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
@@ -46,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op3_pii_pseudonyms": op3_pii_pseudonyms, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
