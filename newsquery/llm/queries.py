@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii, toxicity
+from . import language_id, pii, secret_scan, toxicity
 from .common import held_out, table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicates
@@ -14,6 +14,11 @@ from .packing import pack_documents
 from .token_counts import token_counts
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op3_pii_pseudonyms": op3_pii_pseudonyms, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_pii_pseudonyms": op3_pii_pseudonyms, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
