@@ -233,7 +233,8 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, sample: int = 2000,
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     n = rows.count()
     share = min(1.0, sample / max(1, n))
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(2, 14)))
+    # runs of letters alone: the letters of a key with digits are no words
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: w.rlike(r"^\p{L}{2,14}$")))
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode(words).alias("w"))
     found = chosen.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most_words).collect()
     dictionary = [r["w"] for r in found]
