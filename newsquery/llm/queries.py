@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii, secret_scan, toxicity
+from . import language_id, pii, secret_scan, toxicity, warc
 from .common import held_out, table
 from .decontaminate import contaminated
 from .embedding_dedup import near_duplicates
@@ -36,6 +38,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the pages carry no capture time: one fixed date stands for it
+    responses = warc.pages_to_responses(table(spark, sf_dir, "pages"), datetime(2024, 1, 1, tzinfo=timezone.utc))
+    return warc.build_derivatives(responses, "page_id")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -60,5 +68,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_pii_pseudonyms": op3_pii_pseudonyms, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_pii_pseudonyms": op3_pii_pseudonyms, "op4_token_counts": op4_token_counts, "op5_language_id": op5_language_id, "op6_warc_derivatives": op6_warc_derivatives, "op7_jaccard_join": op7_jaccard_join, "op8_decontamination": op8_decontamination, "op9_best_fit_packing": op9_best_fit_packing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
