@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, buckets, components, discard, in_bitmap, materialise, mix, shingle_sets
+from .common import bitmap, buckets, components, discard, forest, in_bitmap, materialise, mix, shingle_sets
 
 #: Tokens in more sets than these are of class 2 and 3, indexed by combinations of two and of three.
 RARE, FREQUENT = 4, 64
-#: Combinations are formed within so many parts of a class, by hash.
-PARTS = {2: 16, 3: 8}
 BITS = 23
 
 
@@ -49,6 +47,16 @@ def levels(n: int, percent: int) -> range:
     return range(level(-(-percent * n // 100), percent), level(100 * n // percent, percent) + 1)
 
 
+@lru_cache(maxsize=256)
+def parts(lev: int, percent: int) -> dict[int, int]:
+    """Combinations are formed within so many parts of a class, by hash: about five tokens a part for pairs, seven for triples."""
+    n = 1
+    while level(n, percent) < lev:
+        n += max(1, n // 50)
+    need = missing(n, percent) + 1
+    return {2: max(2, need // 4), 3: max(2, need // 5)}
+
+
 def _below(tokens: np.ndarray, lev: int) -> np.ndarray:
     return tokens[: np.searchsorted(tokens, np.uint64(min(2**64 - 1, int(2 ** (64 - lev / 4)))), side="right")]
 
@@ -57,26 +65,32 @@ def sketch_size(n: int, percent: int) -> int:
     return missing(n, percent) + 1 + max(16, missing(n, percent) // 3)
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, n: int, lev: int, percent: int) -> tuple[np.ndarray, bool]:
-    """The prefix's signatures, and whether the tokens sufficed to extend it."""
+def signatures(tokens: np.ndarray, classes: np.ndarray, n: int, lev: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix's signatures: of rare tokens, and of combinations of frequent ones.
+
+    Tokens that don't suffice to extend the prefix (they are too few by chance) are all signatures of the second
+    sort: two linked sets that both fall short share one of them, and one that falls short is found by what the
+    other has.
+    """
     need = missing(n, percent) + 1
     salt = np.uint64(lev + 1)
     order = np.lexsort((tokens, classes))
     rare = tokens[order[: int((classes == 1).sum())]][:need]
-    out = [mix(rare + salt)]
-    got, groups = len(rare), {}
+    got, groups, out = len(rare), {}, [np.empty(0, np.uint64)]
     for i in order[len(rare) :].tolist():
         if got >= need:
             break
         k = int(classes[i])
         token = int(tokens[i])
-        group = groups.setdefault((k, token % PARTS[k]), [])
+        group = groups.setdefault((k, token % parts(lev, percent)[k]), [])
         if len(group) >= k - 1:
             got += 1
             sums = [sum(c) + token for c in combinations(group, k - 1)]
             out.append(mix(np.array([s & (2**64 - 1) for s in sums], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt + np.uint64(k << 32)))
         group.append(token)
-    return np.concatenate(out), got >= need
+    if got < need:
+        out.append(mix(tokens + np.uint64(1 << 40) + salt))
+    return mix(rare + salt), np.unique(np.concatenate(out))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -116,7 +130,7 @@ def _sets(docs: DataFrame, n: int, rows: int = 256) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, n: int, percent: int, rows: int = 256) -> DataFrame:
-    """(id, n, s1, s2, kept, sketch, heads): also the tokens that sets are indexed by, and the smallest of all."""
+    """(id, n, s1, s2, kept, sketch): also the tokens that sets are indexed by, and the smallest of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,11 +140,10 @@ def _indexed(docs: DataFrame, n: int, percent: int, rows: int = 256) -> DataFram
                 marks = [[np.add.reduce(mix(s + np.uint64(c))).view(np.int64) for s in sets] for c in (1, 2)]
                 kept = [_below(s, levels(len(s), percent)[0]).tobytes() for s in sets]
                 sketch = [(s[: sketch_size(len(s), percent)] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
-                heads = [s[:3].view(np.int64).tolist() for s in sets]
-                arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array(kept, pa.binary()), pa.array(sketch, pa.binary()), pa.array(heads, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "s1", "s2", "kept", "sketch", "heads"])
+                arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array(kept, pa.binary()), pa.array(sketch, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "s1", "s2", "kept", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, kept binary, sketch binary, heads array<long>")
+    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, kept binary, sketch binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -142,37 +155,31 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 
 def _signed(classes: DataFrame, percent: int, two: np.ndarray, three: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """(sig, id, n, comp) of every class and signature; of those in the bitmap ``only``, if given.
-
-    A set whose kept tokens don't suffice (they are too few by chance) is also indexed by its whole universe part at
-    level 0, as is any linked set that falls short too; against a set that suffices it is found by what it has.
-    """
+    """(sig, many, id, n) of every class and signature; of those in the bitmap ``only``, if given. many: a combination."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_sig, out_at, out_n = [], [], []
-            ids, sizes, comps = _column(batch, "id"), _column(batch, "n"), _column(batch, "comp")
+            out_sig, out_many, out_at = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+            sizes = _column(batch, "n")
             for at, (n, kept) in enumerate(zip(sizes, _column(batch, "kept"))):
                 tokens = np.frombuffer(kept, np.uint64)
                 bucket = (mix(tokens) & np.uint64((1 << BITS) - 1)).astype(np.int64)
                 kinds = 1 + in_bitmap(two, bucket).astype(np.int8) + in_bitmap(three, bucket)
                 for lev in levels(n, percent):
                     part = _below(tokens, lev)
-                    sigs, enough = signatures(part, kinds[: len(part)], n, lev, percent)
-                    if not enough:
-                        # the whole part as single tokens: what two sets that both fall short still share
-                        sigs = np.concatenate([sigs, mix(part + np.uint64(1 << 40) + np.uint64(lev))])
-                    sigs = np.unique(sigs)
+                    rare, many = signatures(part, kinds[: len(part)], n, lev, percent)
+                    sigs, sort = np.concatenate([rare, many]), np.repeat([False, True], [len(rare), len(many)])
                     if only is not None:
-                        sigs = sigs[in_bitmap(only, (mix(sigs) & np.uint64((1 << BITS) - 1)).astype(np.int64))]
+                        keep = in_bitmap(only, (mix(sigs) & np.uint64((1 << BITS) - 1)).astype(np.int64))
+                        sigs, sort = sigs[keep], sort[keep]
                     out_sig.append(sigs)
-                    out_at += [at] * len(sigs)
-            at = np.array(out_at, np.int64)
-            sig = np.concatenate(out_sig).view(np.int64) if out_sig else np.empty(0, np.int64)
-            arrays = [sig, *(np.array(c, np.int64)[at] if len(c) else np.empty(0, np.int64) for c in (ids, sizes, comps))]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["sig", "id", "n", "comp"])
+                    out_many.append(sort)
+                    out_at.append(np.full(len(sigs), at))
+            at = pa.array(np.concatenate(out_at))
+            own = batch.select(["id", "n"]).take(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_sig).view(np.int64)), pa.array(np.concatenate(out_many)), own.column(0), own.column(1)], ["sig", "many", "id", "n"])
 
-    return classes.select("id", "n", "comp", "kept").mapInArrow(run, "sig long, id long, n long, comp long")
+    return classes.select("id", "n", "kept").mapInArrow(run, "sig long, many boolean, id long, n long")
 
 
 def _mixed(df: DataFrame, name: str) -> DataFrame:
@@ -197,14 +204,11 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: int = 64) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets are linked.
+def _whole_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
+    """``need`` (with a column id) joined to the whole shingle sets of its documents.
 
-    Only documents that occur in a pair are shuffled: a bitmap of their ids, of fixed size, filters the scan. Pairs are
-    dealt by (a, salt of b), and a task holds one set of each a at a time, so no document has too many partners.
+    Only documents that occur in it are shuffled: a bitmap of their ids, of fixed size, filters the scan.
     """
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    need = materialise(dealt.select(F.col("a").alias("id"), "a", "salt").distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "salt").distinct()), "partners")
     wanted = bitmap(need, buckets("id", BITS), BITS)
 
     def sets(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -214,6 +218,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: in
                 batch = whole.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)], pa.binary())], ["id", "tokens"])
 
+    return docs.filter("id is not null").withColumn("bucket", buckets("id", BITS)).mapInArrow(sets, "id long, tokens binary").join(need, "id")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: int = 64) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets are linked.
+
+    Pairs are dealt by (a, salt of b), and a task holds one set of each a at a time, so no document has too many
+    partners.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    need = materialise(dealt.select(F.col("a").alias("id"), "a", "salt").distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "salt").distinct()), "partners")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, []
         for batch in batches:
@@ -229,18 +245,97 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: in
             columns = list(zip(*out)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    found = docs.filter("id is not null").withColumn("bucket", buckets("id", BITS)).mapInArrow(sets, "id long, tokens binary").join(need, "id")
-    rows = found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
+    rows = _whole_sets(docs, need, n).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("id") != F.col("a"))
     return rows.select("id", "a", "salt", "tokens").mapInArrow(verify, "a long, b long").distinct()
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of two rows of sets (``right`` None: of one), by products of their membership matrices."""
+    both = left if right is None else left + right
+    sizes = np.array([len(s) for s in both], np.int64)
+    tokens, at = np.unique(np.concatenate(both), return_inverse=True)
+    common = np.zeros((len(left), len(both) if right is None else len(right)), np.float32)
+    owner = np.repeat(np.arange(len(both)), sizes)
+    for start in range(0, len(tokens), 4096):  # so many tokens at a time: the matrices' size is bounded
+        inside = (at >= start) & (at < start + 4096)
+        m = np.zeros((len(both), min(4096, len(tokens) - start)), np.float32)
+        m[owner[inside], at[inside] - start] = 1
+        common += m[: len(left)] @ (m if right is None else m[len(left) :]).T
+    a, b = sizes[: len(left)], sizes if right is None else sizes[len(left) :]
+    both_sides = np.rint(common).astype(np.int64)
+    near = 100 * both_sides >= percent * (a[:, None] + b[None, :] - both_sides)
+    if right is None:
+        near &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
+    return np.nonzero(near)
+
+
+def _compared(groups: DataFrame, docs: DataFrame, n: int, percent: int, block: int = 256) -> DataFrame:
+    """(a, b): of the links within each group (id, comp, n) a set with the same components.
+
+    Groups of up to ``block`` documents are compared whole. A larger group is cut by size (linked sets differ by one
+    step at most) and by hash into blocks, and pairs of blocks are compared: a task holds two blocks at a time, and
+    returns a spanning forest of their links.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))
+    total = groups.groupBy("comp").agg(F.count("*").alias("total"))
+    rows = groups.join(total, "comp").withColumn("step", F.when(F.col("total") > block, step).otherwise(F.lit(0)).cast("int"))
+    cells = rows.groupBy("comp", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"))
+    rows = rows.join(cells, ["comp", "step"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
+    rows = materialise(rows.select("id", "comp", "step", "cut", "own"), "cells")
+    other = rows.select("comp", "step", F.col("cut").alias("cuts")).distinct()
+    unit = lambda s, t, i, j: F.struct("comp", s.cast("int").alias("s"), t.cast("int").alias("t"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda first, last: F.explode(F.sequence(first, last))
+    zero = F.lit(0)
+    col = F.col
+    mine = rows.select("id", "comp", "step", "own", every(col("own"), col("cut") - 1).alias("j")).select("id", zero.alias("side"), unit(col("step"), col("step"), col("own"), col("j")).alias("unit"))
+    theirs = rows.filter("own > 0").select("id", "comp", "step", "own", every(zero, col("own") - 1).alias("i")).select("id", F.lit(1).alias("side"), unit(col("step"), col("step"), col("i"), col("own")).alias("unit"))
+    up = rows.join(other.withColumn("step", col("step") - 1), ["comp", "step"]).select("id", "comp", "step", "own", every(zero, col("cuts") - 1).alias("j")).select("id", zero.alias("side"), unit(col("step"), col("step") + 1, col("own"), col("j")).alias("unit"))
+    down = rows.join(other.withColumn("step", col("step") + 1), ["comp", "step"]).select("id", "comp", "step", "own", every(zero, col("cuts") - 1).alias("i")).select("id", F.lit(1).alias("side"), unit(col("step") - 1, col("step"), col("i"), col("own")).alias("unit"))
+    need = materialise(mine.unionByName(theirs).unionByName(up).unionByName(down).select("id", "side", "unit.*"), "units")
+    names = ["comp", "s", "t", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        sides: tuple[dict, dict] = ({}, {})
+
+        def done() -> list[tuple[int, int]]:
+            left, right = sides
+            if held is None or len(left) + len(right) < 2 or not left:
+                return []
+            if held[1] == held[2] and held[3] == held[4]:
+                ids = list(left)
+                return [(ids[x], ids[y]) for x, y in forest(len(ids), *block_links(list(left.values()), None, percent))]
+            if not right:
+                return []
+            ids = [*left, *right]
+            x, y = block_links(list(left.values()), list(right.values()), percent)
+            return [(ids[p], ids[q]) for p, q in forest(len(ids), x, y + len(left))]
+
+        def arrow(found: list) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+        for batch in batches:
+            out = []
+            for i, side, tokens, *key in zip(*(_column(batch, c) for c in ("id", "side", "tokens", *names))):
+                if tuple(key) != held:
+                    out += done()
+                    held, sides = tuple(key), ({}, {})
+                sides[side][i] = np.frombuffer(tokens, np.uint64)
+            yield arrow(out)
+        yield arrow(done())
+
+    found = _whole_sets(docs, need, n).repartition(*names).sortWithinPartitions(*names)
+    return found.select("id", "side", "tokens", *names).mapInArrow(compare, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every whole text: the groups that links make.
 
     Two texts are linked if 100 * |common n-word shingles| >= percent * |all|. Words are runs of bytes other than
     space and 0x09-0x0D, A-Z in lower case; a text of fewer than n words is one shingle. Exact but for collisions
-    of 64-bit hashes. Equal sets are one class from the start; the classes that share one of their three smallest
-    hashes with an earlier one are compared with it; then signatures bring together what is not yet connected.
+    of 64-bit hashes. Equal sets are one class from the start. Sets that share a rare token are compared pair by pair,
+    those that combinations of frequent tokens tie together group by group, in blocks.
 
     Null and empty texts: no shingles, linked with nothing. Null ids take part in no link and get their class's
     component, or null. Rows that repeat an id are one document. Other columns are not read.
@@ -248,35 +343,31 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     small = materialise(_sets(rows, n), "sets")
     reps = small.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
-    classes = materialise(
-        _indexed(rows.filter("id is not null"), n, percent).filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch"), F.first("heads").alias("heads")).drop("s1", "s2"), "classes"
-    )
-    heads = classes.select("id", F.explode("heads").alias("head"))
-    first = heads.groupBy("head").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("head", "a")
-    pairs = heads.join(first, "head").filter("id > a").select("a", F.col("id").alias("b")).distinct()
-    links = materialise(_verified(_pruned(pairs, classes, percent), rows, n, percent), "links")
-    early = components(links)
-
-    known = materialise(classes.join(early, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component", "heads"), "known")
-    df = _tokens(known).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > RARE)
-    frequent = materialise(df, "frequent")
+    whole = _indexed(rows.filter("id is not null"), n, percent).filter("n > 0")
+    classes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch")).drop("s1", "s2"), "classes")
+    frequent = materialise(_tokens(classes).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > RARE), "frequent")
     two = bitmap(_mixed(frequent, "token"), F.col("bucket"), BITS)
     three = bitmap(_mixed(frequent.filter(F.col("df") > FREQUENT), "token"), F.col("bucket"), BITS)
 
-    shared = materialise(
-        _signed(known, percent, two, three).groupBy("sig").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b")).filter("lo < hi"), "shared"
-    )
-    more = shared.filter("k > 2").select("sig")
-    several = _signed(known, percent, two, three, only=bitmap(_mixed(more, "sig"), F.col("bucket"), BITS)).join(more, "sig", "left_semi")
-    several = materialise(several, "several")
-    x, y = several.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), several.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    crossing = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")
-    pairs = shared.filter("k = 2").select("a", "b").unionByName(crossing).distinct()
-    later = materialise(_verified(_pruned(pairs, known, percent), rows, n, percent), "links")
-
-    found = components(links.unionByName(later)).withColumnRenamed("id", "rep")
+    signed = _signed(classes, percent, two, three)
+    shared = materialise(signed.groupBy("sig", "many").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b"), "shared")
+    more = shared.filter("k > 2").select("sig", "many", "a")
+    again = _signed(classes, percent, two, three, only=bitmap(_mixed(more, "sig"), F.col("bucket"), BITS))
+    several = materialise(again.join(more, ["sig", "many"]), "several")
+    # a rare token stands in few sets: their pairs are taken one by one
+    few = several.filter("not many")
+    x, y = few.select("sig", F.col("id").alias("x"), F.col("n").alias("nx")), few.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"))
+    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    pairs = x.join(y, "sig").filter((F.col("x") < F.col("y")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = shared.filter("k = 2 and not many").select("a", "b").unionByName(pairs).distinct()
+    links = materialise(_verified(_pruned(pairs, classes, percent), rows, n, percent), "links")
+    # combinations tie together groups of any size: these are compared in blocks, not pair by pair
+    ties = shared.filter("many").select("a", "b").unionByName(several.filter("many and a < id").select("a", F.col("id").alias("b"))).distinct()
+    groups = components(ties).withColumnRenamed("component", "comp").join(classes.select("id", "n"), "id").dropDuplicates(["id"])
+    dense = materialise(_compared(groups, rows, n, percent), "links")
+
+    found = components(links.unionByName(dense)).withColumnRenamed("id", "rep")
     labels = reps.join(found, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    discard(classes, known, frequent, shared, several)
+    discard(classes, frequent, shared, several)
     out = small.join(labels, ["s1", "s2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

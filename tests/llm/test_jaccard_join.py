@@ -102,10 +102,8 @@ def test_linked_sets_share_a_signature():
             own = set()
             for lev in jj.levels(len(tokens), percent):
                 part = jj._below(tokens, lev)
-                sigs, enough = jj.signatures(part, kind(part), len(tokens), lev, percent)
-                own |= set(sigs.tolist())
-                if not enough:
-                    own |= {("all", lev, t) for t in part.tolist()}
+                rare, many = jj.signatures(part, kind(part), len(tokens), lev, percent)
+                own |= set(rare.tolist()) | set(many.tolist())
             found.append(own)
         assert found[0] & found[1]
         sketches = [(t[: jj.sketch_size(len(t), percent)] >> np.uint64(32)).astype(np.uint32) for t in (base, other)]
@@ -117,3 +115,27 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 600)}
     assert len(forest(4, np.array([0, 1, 2, 0]), np.array([1, 2, 0, 3]))) == 3
+
+
+def test_block_links_against_sets():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 6000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base[:100])[: int(rng.integers(85, 101))], base[int(k) : int(k) + 5]])) for k in rng.integers(100, 5000, 60)]
+    for right in (None, sets[25:]):
+        left = sets if right is None else sets[:25]
+        x, y = jj.block_links(left, right, 80)
+        want = {(i, j) for i in range(len(left)) for j in range(len(right or left)) if (right or i < j) and jj.linked(left[i], (right or left)[j], 80)}
+        assert set(zip(x.tolist(), y.tolist())) == want and want
+
+
+def test_group_larger_than_a_block(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = {}
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(own + [f"y{rng.randrange(10**6)}"] * rng.randrange(1, 9))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(docs, 3, 90).collect()} == brute(texts, 3, 90)
