@@ -53,9 +53,9 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release() -> None:
-    """Deletes all materialised frames: for a caller that has written every result built on them."""
-    discard(*_written.values())
+def written() -> list[DataFrame]:
+    """The materialised frames whose files are still there."""
+    return list(_written.values())
 
 
 # --- bitmaps: sets of bounded size that tasks test against ------------------------------------

@@ -63,12 +63,13 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, sample: int = 4000, dims: int = 4096, per_language: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", leave: bool = True) -> LanguageModel | None:
+def fit(docs: DataFrame, sample: int = 3000, dims: int = 8192, per_language: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", leave: bool = True, most_least: float = 0.05) -> LanguageModel | None:
     """Learns from about ``sample`` texts in all, evenly over the languages and chosen by a hash of their id.
 
     The bound holds for what reaches the driver: hashed counts of at most 1.2 * ``sample`` + 100 texts. With
     ``leave``, the held-out fifth of the ids is never learned from. Texts without a letter and null languages are
-    not learned from either. None if nothing is left to learn from.
+    not learned from either. None if nothing is left to learn from. Similarities below 0.15 times what 99 % of a
+    language's learned texts reach, and never more than ``most_least``, will be rejected.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     if leave:
@@ -105,12 +106,13 @@ def fit(docs: DataFrame, sample: int = 4000, dims: int = 4096, per_language: int
     for lang in sorted(set(names)):
         own = v[names == lang]
         c = _clusters(own, per_language)
-        near = own @ c.T
-        for j in range(len(c)):
-            members = near[near.argmax(axis=1) == j, j]
-            languages.append(lang)
-            centres.append(c[j])
-            least.append(0.2 * float(np.quantile(members, 0.01)) if len(members) else 0.0)
+        # a few odd texts under a wrong label make no centroid
+        sizes = np.bincount((own @ c.T).argmax(axis=1), minlength=len(c))
+        enough = sizes >= max(2, len(own) / 50)
+        c = c[enough] if enough.any() else c
+        languages += [lang] * len(c)
+        centres += list(c)
+        least += [min(most_least, 0.15 * float(np.quantile((own @ c.T).max(axis=1), 0.01)))] * len(c)
     return LanguageModel(tuple(languages), np.stack(centres), idf, np.array(least))
 
 
@@ -118,8 +120,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     """(id, lang_pred, score, rejected) and the columns in ``keep``, of every whole text, in one narrow stage.
 
     lang_pred is the language of the nearest centroid and score the cosine to it. ``rejected``: the text is farther
-    from that centroid than a fifth of what 99 % of its learned members reach; one that resembles none of the
-    languages, not merely one that is short or noisy. Null texts, texts without a letter, and all texts if there is
+    from that centroid than the language's threshold (see ``fit``): one that resembles none of the languages, not
+    merely one that is short or noisy. Null texts, texts without a letter, and all texts if there is
     no model: `und`, score 0, rejected. Null ids are kept; repeated rows give repeated rows.
     """
     extra = [docs.schema[c] for c in keep]
@@ -140,3 +142,21 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs), pa.array(scores, pa.float64()), pa.array(rejected)], names)
 
     return rows.mapInArrow(predict, schema)
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", batch_rows: int = 256) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole text isn't rejected (see ``identify``)."""
+    at_text = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, batch_rows):
+                batch = whole.slice(start, batch_rows)
+                texts = batch.column(at_text).to_pylist()
+                fine = np.zeros(len(texts), bool)
+                if at := [i for i, t in enumerate(texts) if t and model is not None and _LETTER.search(t)]:
+                    best, near = model.predict(np.stack([term_counts(texts[i], len(model.idf)) for i in at]))
+                    fine[at] = near >= model.least[best]
+                yield batch.filter(pa.array(fine))
+
+    return docs.mapInArrow(keep, docs.schema)
