@@ -63,7 +63,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, sample: int = 3000, dims: int = 8192, per_language: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", leave: bool = True, most_least: float = 0.05) -> LanguageModel | None:
+def fit(docs: DataFrame, sample: int = 2000, dims: int = 8192, per_language: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", leave: bool = True, most_least: float = 0.05) -> LanguageModel | None:
     """Learns from about ``sample`` texts in all, evenly over the languages and chosen by a hash of their id.
 
     The bound holds for what reaches the driver: hashed counts of at most 1.2 * ``sample`` + 100 texts. With
@@ -95,16 +95,17 @@ def fit(docs: DataFrame, sample: int = 3000, dims: int = 8192, per_language: int
     got = sorted(chosen.mapInArrow(vectorise, "lang string, at binary, n binary").limit(int(1.2 * sample) + 100).collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     if not got:
         return None
-    x = np.zeros((len(got), dims), np.float32)
-    for row, r in zip(x, got):
-        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
+    sparse = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["n"], np.float32)) for r in got]
     names = np.array([r["lang"] for r in got])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    model = LanguageModel((), np.zeros((0, dims), np.float32), idf, np.zeros(0))
-    v = model.vectors(x)
+    df = np.bincount(np.concatenate([at for at, _ in sparse]), minlength=dims)
+    idf = np.log((1 + len(sparse)) / (1 + df)).astype(np.float32) + np.float32(0.1)
     languages, centres, least = [], [], []
     for lang in sorted(set(names)):
-        own = v[names == lang]
+        mine = [x for x, name in zip(sparse, names) if name == lang]
+        own = np.zeros((len(mine), dims), np.float32)  # of one language at a time
+        for row, (at, n) in zip(own, mine):
+            row[at] = np.log1p(n) * idf[at]
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         c = _clusters(own, per_language)
         # a few odd texts under a wrong label make no centroid
         sizes = np.bincount((own @ c.T).argmax(axis=1), minlength=len(c))
