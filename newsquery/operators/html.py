@@ -57,30 +57,43 @@ class _Selected(HTMLParser):
     def __init__(self, selectors: list[str]):
         super().__init__(convert_charrefs=True)
         self.rules = [(s.split("#")[0].split(".")[0], s.split(".")[1] if "." in s else None, s.split("#")[1] if "#" in s else None) for s in selectors]
-        self.open: list[list] = []
+        self.open: list[tuple[str, list[int], list[str]]] = []
         self.found: list[list[str]] = [[] for _ in selectors]
 
     def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            self._end("p")  # a paragraph ends where the next begins
         own = dict(attrs)
-        for k, (name, cls, ident) in enumerate(self.rules):
-            if (not name or name == tag) and (cls is None or cls in (own.get("class") or "").split()) and (ident is None or own.get("id") == ident):
-                self.open.append([tag, k, []])
+        fits = [k for k, (name, cls, ident) in enumerate(self.rules) if (not name or name == tag) and (cls is None or cls in (own.get("class") or "").split()) and (ident is None or own.get("id") == ident)]
+        if tag not in _VOID:
+            self.open.append((tag, fits, []))
+
+    def _end(self, tag):
+        if any(t == tag for t, _, _ in self.open):
+            while True:
+                last, fits, text = self.open.pop()
+                for k in fits:
+                    self.found[k].append(" ".join("".join(text).split()))
+                if last == tag:
+                    break
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                _, k, text = self.open.pop(at)
-                self.found[k].append(" ".join("".join(text).split()))
-                break
+        self._end(tag)
 
     def handle_data(self, data):
-        for entry in self.open:
-            entry[2].append(data)
+        if not any(t in ("script", "style") for t, _, _ in self.open):
+            for _, fits, text in self.open:
+                if fits:
+                    text.append(data)
 
     def close(self):
         super().close()
         while self.open:
-            self.handle_endtag(self.open[-1][0])
+            self._end(self.open[-1][0])
+
+
+# Elements without an end.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
 def select_texts(pages: DataFrame, html: str, selectors: dict[str, list[str]]) -> DataFrame:
