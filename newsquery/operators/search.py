@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import bound
 from ..functions.dates import age_hours
 from ..functions.exprs import rounded, search_pattern
 from ..functions.text import words
@@ -22,12 +23,14 @@ BOOSTS = {"title": 3.0, "clean_content": 1.0, "summary": 2.0, "keywords": 2.0}
 def postings(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     """(field, term, key, tf, length): the inverted index, to be written partitioned by field and clustered by term.
 
-    Terms are counted inside each row, so the explode is the only growth and nothing is shuffled.
+    A row's terms are exploded with the length of their field and counted; the count is partial before it shuffles.
     """
-    named = lambda n, c: F.transform(words(F.coalesce(c, F.lit(""))), lambda w: F.struct(F.lit(n).alias("field"), w.alias("term")))
-    each = [named(n, c) for n, c in fields.items()]
-    sized = df.select(key, F.map_from_arrays(F.array(*(F.lit(n) for n in fields)), F.array(*(F.size(t) for t in each))).alias("sizes"), F.explode(F.concat(*each)).alias("t"))
-    return sized.groupBy(key, "t.field", "t.term").agg(F.count("*").alias("tf"), F.first(F.col("sizes")[F.col("t.field")]).alias("length"))
+    def terms(name: str, column: Column) -> Column:
+        each = lambda own: F.transform(own, lambda w: F.struct(F.lit(name).alias("field"), w.alias("term"), F.size(own).alias("length")))
+        return bound(words(F.coalesce(column, F.lit(""))), each)
+
+    rows = df.select(key, F.explode(F.concat(*(terms(n, c) for n, c in fields.items()))).alias("t"))
+    return rows.groupBy(key, "t.field", "t.term").agg(F.count("*").alias("tf"), F.first("t.length").alias("length"))
 
 
 def field_statistics(df: DataFrame, fields: dict[str, Column]) -> DataFrame:

@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import corpus, events, pages, relational, streams  # noqa: F401
+    from . import corpus, events, ingest, pages, relational, streams  # noqa: F401

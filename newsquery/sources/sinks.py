@@ -56,9 +56,11 @@ def publish(articles: DataFrame, servers: str, topic: str, key: str = "article_i
 
 def write_index(articles: DataFrame, path: str, key: str, fields: dict[str, Column]) -> None:
     """The postings, by field and term, and the statistics of an index; written anew, so repeating changes nothing."""
-    index = postings(articles.dropDuplicates([key]), key, fields)
+    rows = articles.select(key, *(c.alias(n) for n, c in fields.items())).dropDuplicates([key])
+    named = {n: COL(n) for n in fields}
+    index = postings(rows, key, named)
     index.repartitionByRange("field", "term").sortWithinPartitions("field", "term", key).write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    field_statistics(articles.dropDuplicates([key]), fields).write.mode("overwrite").parquet(f"{path}/statistics")
+    field_statistics(rows, named).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def state_rows(articles: DataFrame) -> DataFrame:
