@@ -30,6 +30,7 @@ def quality(df: DataFrame, as_of: Column, columns: dict[str, str], dimension: in
     future = F.coalesce(F.unix_timestamp(ts) - F.unix_timestamp(as_of.cast("timestamp")) > FUTURE_SECONDS, F.lit(False))
     staged = F.coalesce(of("stage").isin(*WITH_CONTENT), F.lit(False))
     bad_vector = (of("embedding").isNotNull() & (F.size(COL(columns["embedding"])) != dimension)) if "embedding" in columns else F.lit(False)
+    # The penalties and messages of the gate.
     errors = [
         (blank(of("article_id")), 40, "Missing or null article_id"),
         (~valid_url(F.coalesce(of("link"), F.lit(""))), 30, "Invalid or missing article URL"),

@@ -39,6 +39,7 @@ CATEGORIES = {
 IGNORED = "what where when which who whom whose why how about according indian express hindu times happened year news show tell give latest recent stories today yesterday week month compare summary article".split()
 #: Intents whose answers must be grounded word by word.
 GROUNDED = ("ARTICLE_SEARCH", "GENERAL_NEWS_QUERY", "SUMMARY", "DATE_RANGE_QUERY")
+# Fixed value: the statement that there is no evidence.
 NO_EVIDENCE = "Insufficient evidence was found in the indexed news data to answer this question."
 
 
