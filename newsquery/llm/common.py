@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,15 +67,31 @@ def buckets(column, bits: int):
     return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 
 
+def bits_for(rows: int, per_row: int = 32, least: int = 20, most: int = 30) -> int:
+    """Bits of a bitmap that so many rows leave mostly empty; 2^30 bits (128 MB) at most."""
+    return min(most, max(least, (max(1, rows) * per_row - 1).bit_length()))
+
+
 def bitmap(df: DataFrame, bucket, bits: int) -> np.ndarray:
     """The set of a frame's buckets as 2^bits bits: that is its size, whatever the frame's.
 
-    Values may share a bit, so a test can only say "perhaps" or "no". The driver gets each set bucket once.
+    Values may share a bit, so a test can only say "perhaps" or "no". Tasks gather the buckets of 2^15 bits each and
+    send them packed, so the driver gets no more than the bitmap.
     """
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for batch in df.select(bucket.cast("int").alias("bucket")).distinct().toArrow().to_batches():
-        at = batch.column(0).to_numpy()
-        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def pack(batches):
+        for batch in batches:
+            packed = []
+            for low in batch.column(1).to_pylist():
+                chunk = np.zeros(1 << 15, np.uint8)
+                chunk[low] = 1
+                packed.append(np.packbits(chunk, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["chunk", "packed"])
+
+    out = np.zeros(max(1 << 12, 1 << (bits - 3)), np.uint8)
+    parts = df.select(F.shiftright(bucket.cast("int"), 15).alias("chunk"), bucket.cast("int").bitwiseAND(F.lit((1 << 15) - 1)).alias("low")).groupBy("chunk").agg(F.collect_set("low").alias("low"))
+    for r in parts.mapInArrow(pack, "chunk int, packed binary").collect():
+        out[r["chunk"] << 12 : (r["chunk"] + 1) << 12] = np.frombuffer(r["packed"], np.uint8)
     return out
 
 

@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, buckets, components, discard, forest, in_bitmap, materialise, mix, shingle_sets
+from .common import bitmap, bits_for, buckets, components, discard, forest, in_bitmap, materialise, mix, shingle_sets
 
 #: Tokens in more sets than these are of class 2 and 3, indexed by combinations of two and of three.
 RARE, FREQUENT = 4, 64
-BITS = 23
-
 
 @lru_cache(maxsize=65536)
 def missing(n: int, percent: int) -> int:
@@ -154,7 +152,7 @@ def _tokens(classes: DataFrame) -> DataFrame:
     return classes.select("kept").mapInArrow(run, "token long")
 
 
-def _signed(classes: DataFrame, percent: int, two: np.ndarray, three: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+def _signed(classes: DataFrame, percent: int, two: np.ndarray, three: np.ndarray, bits: int, only: np.ndarray | None = None) -> DataFrame:
     """(sig, many, id, n) of every class and signature; of those in the bitmap ``only``, if given. many: a combination."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +161,14 @@ def _signed(classes: DataFrame, percent: int, two: np.ndarray, three: np.ndarray
             sizes = _column(batch, "n")
             for at, (n, kept) in enumerate(zip(sizes, _column(batch, "kept"))):
                 tokens = np.frombuffer(kept, np.uint64)
-                bucket = (mix(tokens) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                bucket = (mix(tokens) & np.uint64((1 << bits) - 1)).astype(np.int64)
                 kinds = 1 + in_bitmap(two, bucket).astype(np.int8) + in_bitmap(three, bucket)
                 for lev in levels(n, percent):
                     part = _below(tokens, lev)
                     rare, many = signatures(part, kinds[: len(part)], n, lev, percent)
                     sigs, sort = np.concatenate([rare, many]), np.repeat([False, True], [len(rare), len(many)])
                     if only is not None:
-                        keep = in_bitmap(only, (mix(sigs) & np.uint64((1 << BITS) - 1)).astype(np.int64))
+                        keep = in_bitmap(only, (mix(sigs) & np.uint64((1 << bits) - 1)).astype(np.int64))
                         sigs, sort = sigs[keep], sort[keep]
                     out_sig.append(sigs)
                     out_many.append(sort)
@@ -182,12 +180,12 @@ def _signed(classes: DataFrame, percent: int, two: np.ndarray, three: np.ndarray
     return classes.select("id", "n", "kept").mapInArrow(run, "sig long, many boolean, id long, n long")
 
 
-def _mixed(df: DataFrame, name: str) -> DataFrame:
+def _mixed(df: DataFrame, name: str, bits: int) -> DataFrame:
     """The bits of 64-bit values, as tasks compute them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.int32))], ["bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array((mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int32))], ["bucket"])
 
     return df.select(name).mapInArrow(run, "bucket int")
 
@@ -209,7 +207,8 @@ def _whole_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
 
     Only documents that occur in it are shuffled: a bitmap of their ids, of fixed size, filters the scan.
     """
-    wanted = bitmap(need, buckets("id", BITS), BITS)
+    bits = bits_for(need.count(), 8)
+    wanted = bitmap(need, buckets("id", bits), bits)
 
     def sets(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -218,7 +217,7 @@ def _whole_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
                 batch = whole.slice(at, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n)], pa.binary())], ["id", "tokens"])
 
-    return docs.filter("id is not null").withColumn("bucket", buckets("id", BITS)).mapInArrow(sets, "id long, tokens binary").join(need, "id")
+    return docs.filter("id is not null").withColumn("bucket", buckets("id", bits)).mapInArrow(sets, "id long, tokens binary").join(need, "id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: int = 64) -> DataFrame:
@@ -346,13 +345,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     whole = _indexed(rows.filter("id is not null"), n, percent).filter("n > 0")
     classes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch")).drop("s1", "s2"), "classes")
     frequent = materialise(_tokens(classes).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > RARE), "frequent")
-    two = bitmap(_mixed(frequent, "token"), F.col("bucket"), BITS)
-    three = bitmap(_mixed(frequent.filter(F.col("df") > FREQUENT), "token"), F.col("bucket"), BITS)
+    # a frequent token takes a bit; rare ones that share it only change sides
+    bits = bits_for(frequent.count(), 16)
+    two = bitmap(_mixed(frequent, "token", bits), F.col("bucket"), bits)
+    three = bitmap(_mixed(frequent.filter(F.col("df") > FREQUENT), "token", bits), F.col("bucket"), bits)
 
-    signed = _signed(classes, percent, two, three)
+    signed = _signed(classes, percent, two, three, bits)
     shared = materialise(signed.groupBy("sig", "many").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b"), "shared")
     more = shared.filter("k > 2").select("sig", "many", "a")
-    again = _signed(classes, percent, two, three, only=bitmap(_mixed(more, "sig"), F.col("bucket"), BITS))
+    again = _signed(classes, percent, two, three, bits, only=bitmap(_mixed(more, "sig", bits), F.col("bucket"), bits))
     several = materialise(again.join(more, ["sig", "many"]), "several")
     # a rare token stands in few sets: their pairs are taken one by one
     few = several.filter("not many")
