@@ -126,7 +126,7 @@ def _texts(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[list, list[np.nda
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, rare: float = 1e-4, block: int = 20000, rows: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, rare: float = 1e-4, block: int = 5000, rows: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(id, item id, score, n_equal, begin, end) of every pair of a document and a test item that it holds a copy of.
 
