@@ -5,7 +5,9 @@ vectors by (label, key): close vectors mostly share a long beginning of the key
 Each is compared with its neighbours in a bounded window, and verified pairs are united over the passes. Groups
 larger than a window are completed exactly: the members of each united group are compared in blocks, so that every
 link within it is counted. What can be missed is only a link between vectors that no chain of verified pairs
-connects; the number of passes follows the table's size so that this stays below a stated probability.
+connects. How long a beginning must be to come down to a window is measured from the keys, for each vector in each
+pass; a vector whose links may still be missed with more than a stated probability goes through further passes, or is
+compared with all such vectors of its label where that is cheaper, as in dense labels.
 """
 
 from __future__ import annotations
@@ -25,15 +27,19 @@ from .common import components, discard, forest, materialise
 BLOCK = 256
 
 
-def passes_needed(n: int, least_cosine: float, block: int = BLOCK, miss: float = 1e-4, most: int = 64) -> int:
-    """Passes after which a pair at the least cosine has stood in one window with probability 1 - ``miss``.
+#: The probability that a link between vectors no chain connects may be missed with.
+MISS = 1e-4
 
-    A pair agrees on a sign with probability 1 - angle / pi, and n vectors need log2(n / block) leading signs to
-    come down to a block.
+
+def passes_needed(n: int, least_cosine: float, block: int = BLOCK, miss: float = MISS) -> int:
+    """Passes to begin with: a pair at the least cosine of n scattered vectors has then stood in one window with probability 1 - ``miss``.
+
+    A pair agrees on a sign with probability 1 - angle / pi, and n scattered vectors need log2(n / block) leading
+    signs to come down to a block. Others need more; ``_unsettled`` measures which.
     """
     signs = max(1.0, math.log2(max(2.0, n / block)))
     near = (1 - math.acos(min(1.0, least_cosine)) / math.pi) ** signs
-    return min(most, max(3, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - near * 0.9)))))
+    return max(3, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - near * 0.9))))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -75,7 +81,7 @@ def _keys(reps: DataFrame, passes: int, seed: int) -> DataFrame:
 
 
 def _blocks(keys: DataFrame, p: int, block: int) -> DataFrame:
-    """(id, block) in pass p: the rank in the order of (label, key) by blocks.
+    """(id, key, block, place) in pass p: the rank in the order of (label, key) by blocks, and the place in the block.
 
     Range partitions are sorted apart and numbered inside; the driver gets one row count for each partition.
     """
@@ -86,39 +92,120 @@ def _blocks(keys: DataFrame, p: int, block: int) -> DataFrame:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], ["id", "part", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], ["id", "key", "part", "at"])
             at += n
 
     key = keys.select("id", "label", "dim", F.col("keys")[p].alias("key"))
-    placed = materialise(key.repartitionByRange("label", "dim", "key", "id").sortWithinPartitions("label", "dim", "key", "id").select("id").mapInArrow(number, "id long, part int, at long"), "order")
+    placed = materialise(key.repartitionByRange("label", "dim", "key", "id").sortWithinPartitions("label", "dim", "key", "id").select("id", "key").mapInArrow(number, "id long, key long, part int, at long"), "order")
     counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
     starts, total = {}, 0
     for part, n in counts:
         starts[part] = total
         total += n
     if not starts:
-        return placed.select("id", F.lit(0).cast("long").alias("block"))
+        return placed.select("id", "key", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("place"))
     start = F.create_map(*(x for k, n in starts.items() for x in (F.lit(k), F.lit(n))))
-    return placed.select("id", F.floor((start[F.col("part")] + F.col("at")) / block).alias("block"))
+    rank = start[F.col("part")] + F.col("at")
+    return placed.select("id", "key", F.floor(rank / block).alias("block"), F.pmod(rank, F.lit(block)).alias("place"))
+
+
+def _common_bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 63 leading bits are equal."""
+    differ = x ^ y
+    high = differ >> 32  # in halves, which doubles hold exactly
+    return 63 - np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((differ & 0xFFFFFFFF).astype(np.float64))[1])
 
 
 def _windows(reps: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
-    """(a, b) of a spanning forest of the verified pairs of each block with itself and the next."""
+    """(a, b, need): a spanning forest of the verified pairs of each block with itself and the next, need -1.
+
+    And for each vector a row with itself: the least number of leading bits that no more than a block's rows, itself
+    among them, share. Vectors that agree on so many stand in one window. It is the largest over the rows' two units.
+    """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["main", "id"], ascending=[False, True])
         out = []
+        first, second = (group[group["main"] == x].sort_values("place") for x in (1, 0))
+        if len(first):
+            # rows a block apart: all between them share what these two share
+            head = first.iloc[: len(second)]
+            alike = (head["label"].to_numpy() == second["label"].to_numpy()) & (head["dim"].to_numpy() == second["dim"].to_numpy())
+            need = np.where(alike, _common_bits(head["key"].to_numpy(), second["key"].to_numpy()) + 1, 0)
+            upto = np.maximum.accumulate(np.append(0, need))[1:]
+            upto = np.append(upto, np.full(len(first) - len(need), need.max(initial=0)))
+            since = np.maximum.accumulate(need[::-1])[::-1]
+            out += [(i, i, k) for own, needs in ((first, upto), (second, since)) for i, k in zip(own["id"].tolist(), needs.tolist())]
+        group = group.sort_values(["main", "id"], ascending=[False, True])
         for (_, _), own in group.groupby(["label", "dim"], sort=True):
             v, main, ids = np.stack(own["v"].to_numpy()), int(own["main"].sum()), own["id"].to_numpy()
             near = v[:main] @ v.T >= least
             x, y = np.nonzero(near)
             keep = x < y
-            out += [(int(ids[i]), int(ids[j])) for i, j in forest(len(ids), x[keep], y[keep])]
+            out += [(int(ids[i]), int(ids[j]), -1) for i, j in forest(len(ids), x[keep], y[keep])]
+        return pd.DataFrame(out, columns=["a", "b", "need"], dtype="int64")
+
+    both = blocks.select("id", "key", "place", F.explode(F.array(F.struct(F.col("block").alias("g"), F.lit(1).alias("main")), F.struct((F.col("block") - 1).alias("g"), F.lit(0).alias("main")))).alias("w"))
+    rows = reps.join(both, "id").select("id", "label", "dim", "v", "key", "place", "w.g", "w.main")
+    return rows.groupBy("g").applyInPandas(compare, "a long, b long, need long")
+
+
+def _unsettled(needs: DataFrame, least: float, miss: float) -> DataFrame:
+    """(id, left): vectors with a link that all passes so far miss with more than ``miss``, and about how many passes that still takes.
+
+    ``needs``: (id, pass, need). A pair agrees on so many signs, and stands in one window, with at least the chance
+    of a pair at the least cosine. Needs of 64 are longer than a key: such a pass says nothing about the vector.
+    """
+    sign = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    each = needs.groupBy("id", "pass").agg(F.max("need").alias("need"))
+    gain = F.when(F.col("need") == 0, 1e9).when(F.col("need") > 63, 0.0).otherwise(-F.log1p(-F.least(F.pow(F.lit(sign), F.col("need")), F.lit(1 - 1e-12))))
+    sums = each.groupBy("id").agg(F.sum(gain).alias("sure"), F.count("*").alias("passes"))
+    wanted = -math.log(miss)
+    return sums.filter(F.col("sure") < wanted).select("id", F.when(F.col("sure") > 0, (wanted - F.col("sure")) * F.col("passes") / F.col("sure")).otherwise(F.lit(float("inf"))).alias("left"))
+
+
+def _compared(rows: DataFrame, least: float, block: int = 512) -> DataFrame:
+    """(a, b) of spanning forests of all verified pairs of ``rows`` (id, label, dim, v): every pair of blocks of a label is a unit."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, _, i, j), own in group.groupby(["label", "dim", "i", "j"], sort=True):
+            own = own.sort_values(["mine", "id"])
+            v, ids, main = np.stack(own["v"].to_numpy()), own["id"].to_numpy(), int((own["mine"] == i).sum())
+            x, y = np.nonzero(v[:main] @ (v.T if i == j else v[main:].T) >= least)
+            y = y if i == j else y + main
+            keep = x < y
+            out += [(int(ids[k]), int(ids[m])) for k, m in forest(len(ids), x[keep], y[keep])]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    both = blocks.select("id", F.explode(F.array(F.struct(F.col("block").alias("g"), F.lit(1).alias("main")), F.struct((F.col("block") - 1).alias("g"), F.lit(0).alias("main")))).alias("w"))
-    rows = reps.join(both, "id").select("id", "label", "dim", "v", "w.g", "w.main")
-    return rows.groupBy("g").applyInPandas(compare, "a long, b long")
+    sizes = rows.groupBy("label", "dim").agg(F.count("*").alias("rows"))
+    cut = rows.join(sizes, ["label", "dim"]).withColumn("parts", F.ceil(F.col("rows") / block)).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    units = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select("id", "label", "dim", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return units.withColumn("unit", F.xxhash64("label", "dim", "i", "j")).groupBy("unit").applyInPandas(compare, "a long, b long")
+
+
+def _links(classes: DataFrame, least: float, passes: int, block: int, seed: int, miss: float = MISS) -> DataFrame:
+    """(a, b) of verified pairs that connect whatever links connect, but for a chance of ``miss`` a link.
+
+    The first round takes ``passes`` over all vectors. While some are unsettled, a round takes further passes over
+    these alone, or compares them in full with each other if that is fewer products than the passes they still need.
+    """
+    rows, edges, needs, at = classes, None, None, 0
+    while True:
+        keys = materialise(_keys(rows, passes, seed + 1_000_003 * at), "keys")
+        for p in range(passes):
+            found = materialise(_windows(rows, _blocks(keys, p, block), least), "pairs")
+            own, need = found.filter("need < 0").select("a", "b"), found.filter("need >= 0").select(F.col("a").alias("id"), F.lit(at + p).alias("pass"), "need")
+            edges, needs = (own, need) if edges is None else (edges.unionByName(own), needs.unionByName(need))
+        discard(keys)
+        at += passes
+        rows = materialise(classes.join(_unsettled(needs.join(rows.select("id"), "id", "left_semi"), least, miss), "id"), "unsettled")
+        # one row: sums over the labels
+        cost = rows.groupBy("label", "dim").agg(F.count("*").alias("n"), F.max("left").alias("left")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / 2).alias("full"), F.max("left").alias("left")).first()
+        if not cost["n"]:
+            return edges
+        if cost["full"] <= cost["left"] * cost["n"] * 1.5 * block:
+            return edges.unionByName(materialise(_compared(rows.select("id", "label", "dim", "v"), least), "pairs"))
+        passes, rows = min(8, math.ceil(cost["left"])), rows.drop("left")
 
 
 def _counted(members: DataFrame, least: float, block: int = 512, spread: int = 4096) -> DataFrame:
@@ -155,8 +242,8 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, passes: int
     """(id, n_links, component_id, kept) of every vector.
 
     Linked are two vectors of equal, non-null labels and equal length whose cosine in double precision is at least
-    ``least_cosine``. Equal vectors are one class from the start, so that copies cost nothing. ``passes``: by default
-    as many as ``passes_needed`` says for the number of classes.
+    ``least_cosine``. Equal vectors are one class from the start, so that copies cost nothing. ``passes``: to
+    begin with, by default as many as ``passes_needed`` says for the number of classes.
 
     Vectors that are null, empty, zero or hold nulls or non-finite numbers, and those with a null label, link with
     nothing: n_links 0, a component of their own. Null ids: n_links 0, component null, kept null. Rows that repeat
@@ -169,17 +256,13 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, passes: int
     classes = materialise(units.join(reps.select(F.col("rep").alias("id"), "copies", F.col("label").alias("l"), F.col("dim").alias("d")), "id").filter("label = l and dim = d").drop("l", "d").dropDuplicates(["id"]), "classes")
     n = classes.count()
     passes = passes or passes_needed(n, least_cosine, block)
-    keys = materialise(_keys(classes, passes, seed), "keys")
-    edges = None
-    for p in range(passes):
-        found = materialise(_windows(classes.drop("copies"), _blocks(keys, p, block), least_cosine), "pairs")
-        edges = found if edges is None else edges.unionByName(found)
+    edges = _links(classes.drop("copies"), least_cosine, passes, block, seed)
     groups = materialise(components(edges).withColumnRenamed("component", "comp"), "groups")
     links = _counted(classes.join(groups, "id").select("id", "comp", "v", "copies"), least_cosine)
     known = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select(F.col("id").alias("__id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id"))
     known = known.groupBy("__id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    discard(keys, units)
+    discard(units)
     out = vectors.select(F.col(id_col).cast("long").alias("__own")).join(known, F.col("__own") == F.col("__id"), "left")
     component = F.coalesce("component_id", "__own")
     return out.select(F.col("__own").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("__own") == component).alias("kept"))

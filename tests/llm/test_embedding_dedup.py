@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from newsquery.llm.embedding_dedup import near_duplicates, passes_needed
 
@@ -69,3 +70,22 @@ def test_empty_table_and_null_id(spark):
 
 def test_passes_grow_with_the_logarithm():
     assert passes_needed(1000, 0.98) <= passes_needed(10**6, 0.98) <= passes_needed(10**9, 0.98) <= 64
+
+
+def test_isolated_pairs_of_a_dense_label(spark):
+    rng = np.random.default_rng(4)
+    n, planted, dim = 30000, 300, 64
+    mean = rng.standard_normal(dim)
+    mean /= np.linalg.norm(mean)
+    v = np.sqrt(0.95) * mean + np.sqrt(0.05 / dim) * rng.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for k in range(planted):  # a pair at cosine 0.982: turned by its angle in a random plane
+        side = rng.standard_normal(dim)
+        side -= (side @ v[k]) * v[k]
+        v[n - 1 - k] = 0.982 * v[k] + np.sqrt(1 - 0.982**2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": v.tolist(), "label": 0}), "vec_id long, embedding array<double>, label int")
+    got = near_duplicates(df).toPandas().set_index("vec_id")
+    links = np.concatenate([(v[a : a + 2000] @ v.T >= 0.98).sum(axis=1) - 1 for a in range(0, n, 2000)])
+    assert (links[:planted] >= 1).all()
+    assert (got["n_links"].loc[np.arange(n)].to_numpy() == links).all()
+    assert (got["component_id"].loc[np.arange(n - planted, n)[::-1]].to_numpy() == got["component_id"].loc[np.arange(planted)].to_numpy()).all()
