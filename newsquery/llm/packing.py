@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -132,68 +132,57 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int], most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first.
+def _dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], lengths: list[int]) -> bool:
+    """Whether a piece left out could take the place of some of the filling's, which would fit where that piece lies.
 
-    Of single pieces only the longest that fits counts; a pair or triple counts only if it leaves less waste than
-    every filling of fewer pieces, which could stand in its place. Ends at a filling without waste.
+    It must leave no more waste, or as much with fewer pieces; in the place of none, it is a piece that still fits.
     """
-    fit = [n for n in lengths if n <= room]  # falling
-    if not fit:
-        return [()]
-    out, most_sum = [(fit[0],)], fit[0]
-    if most_sum == room:
-        return out
-    present = set(fit)
-
-    def second(limit: int, upto: int) -> int | None:
-        """The longest present length <= limit and <= upto."""
-        n = min(limit, upto)
-        while n >= fit[-1]:
-            if n in present:
-                return n
-            n -= 1
-        return None
-
-    pairs = []
-    for x in fit:
-        if 2 * x <= most_sum:
-            break
-        y = second(room - x, x)
-        if y is not None and (y != x or counts[x] > 1) and x + y > most_sum:
-            pairs.append((x, y))
-            if x + y == room:
-                return [(x, y), *out]
-    if pairs:
-        pairs.sort(key=lambda p: -sum(p))
-        most_sum = max(most_sum, sum(pairs[0]))
-        out = pairs[:most] + out
-    triples, tried = [], 0
-    for x in fit:
-        if 3 * x <= most_sum or tried > 20000:
-            break
-        for y in fit:
-            if y > x or x + y >= room:
-                continue
-            if x + 2 * y <= most_sum or tried > 20000:
-                break
-            tried += 1
-            z = second(room - x - y, y)
-            if z is not None and x + y + z > most_sum and all(counts[n] >= (x, y, z).count(n) for n in (x, y, z)):
-                triples.append((x, y, z))
-                most_sum = x + y + z
-                if most_sum == room:
-                    return [(x, y, z), *out[: most - 1]]
-    # more pieces: the longest that fits, again and again
-    left, used, chain = room, defaultdict(int), []
-    for n in fit:
-        while n <= left and used[n] < counts[n]:
-            used[n] += 1
-            chain.append(n)
-            left -= n
-    if room - left > most_sum:
-        triples.append(tuple(chain))
-    return (triples[::-1] + out)[:most]
+    one, more = 1, 0  # sums of any pieces, and of two and more, as bits
+    for n in filling:
+        more |= (more << n) | ((one ^ 1) << n)
+        one |= one << n
+    for y in lengths:
+        if counts[y] > filling.count(y):
+            low = max(0, y - waste)
+            if (one >> low) & ((1 << (y - low)) - 1) or more >> y & 1:
+                return True
+    return False
+
+
+def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room`` with any number of pieces, least waste first; None for each dominated one.
+
+    They are found one by one, as far as the caller reads. Only sums that the counts can reach are followed.
+    """
+    lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # sums that the shorter lengths reach, as bits
+    for n in reversed(lengths):
+        left, k, sums = min(counts[n], room // n), 1, reach[-1]
+        while left:
+            k = min(k, left)
+            sums |= (sums << (k * n)) & mask
+            left, k = left - k, 2 * k
+        reach.append(sums)
+    reach.reverse()
+
+    def exact(i: int, r: int) -> Iterator[tuple[int, ...]]:
+        if not r:
+            yield ()
+            return
+        for j in range(i, len(lengths)):
+            if not reach[j] >> r & 1:
+                return
+            n = lengths[j]
+            for k in range(min(counts[n], r // n), 0, -1):
+                if reach[j + 1] >> (r - k * n) & 1:
+                    for rest in exact(j + 1, r - k * n):
+                        yield (n,) * k + rest
+
+    for target in range(room, -1, -1):
+        if reach[0] >> target & 1:
+            for filling in exact(0, target):
+                yield None if _dominated(filling, room - target, counts, lengths) else filling
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -219,26 +208,43 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3000) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """([(lengths that share a sequence, number of such sequences)], lower bound).
 
-    Branch and bound: a node takes the longest piece left, branches over the undominated fillings around it (as many
-    equal sequences at once as the counts allow), and is left when its waste is more than a better packing could
-    have. The best-fit packing is the first incumbent. ``most_nodes`` bounds the search, never the pieces packed.
+    Branch and bound: a node takes the longest piece left, branches over all undominated fillings around it and over
+    the number of equal sequences (as many as the counts allow, then halves of that: their sums are all numbers), and
+    is left when its waste is more than a better packing could have. The best-fit packing is the first incumbent.
+    ``most_nodes`` bounds the fillings tried, never the pieces packed.
     """
     histogram = {n: c for n, c in histogram.items() if c}
     total, bound = sum(n * c for n, c in histogram.items()), lower_bound(histogram, capacity)
     best = best_fit(histogram, capacity)
     best_n = sum(t for _, t in best)
     counts, path, nodes = dict(histogram), [], 0
-    stack: list[list] = []  # of the nodes on the path: [ways left, pattern taken or None, times]
+    stack: list[list] = []  # of the nodes on the path: [branches left, pattern taken or None, times]
     waste = 0
 
-    def ways() -> list[tuple[int, ...]]:
-        lengths = sorted(counts, reverse=True)
-        top = lengths[0]
-        counts[top] -= 1
-        own = [n for n in lengths if counts[n]]
-        found = fillings(capacity - top, counts, own)
-        counts[top] += 1
-        return [(top, *f) for f in found][::-1]
+    def branches(before: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """(pattern, times) from the least waste on, new patterns and fewer times in turn; None for a dominated filling."""
+        own, top = dict(counts), max(counts)
+        own[top] -= 1
+        fewer: deque = deque()
+        for filling in fillings(capacity - top, own):
+            if filling is None:
+                yield None
+                continue
+            pattern = (top, *filling)
+            if before + capacity - sum(pattern) > (best_n - 1) * capacity - total:
+                break  # the others waste no less
+            times = min(counts[n] // pattern.count(n) for n in set(pattern))
+            yield pattern, times
+            fewer.append((pattern, times // 2))
+            pattern, times = fewer.popleft()
+            if times:
+                yield pattern, times
+                fewer.append((pattern, times // 2))
+        while fewer:
+            pattern, times = fewer.popleft()
+            if times:
+                yield pattern, times
+                fewer.append((pattern, times // 2))
 
     def apply(pattern: tuple[int, ...], times: int) -> None:
         for n in pattern:
@@ -254,8 +260,7 @@ def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3
             best, best_n = list(path), sum(t for _, t in path)
             continue
         if counts and (not stack or stack[-1][1] is not None) and waste <= allowed:
-            nodes += 1
-            stack.append([ways(), None, 0])
+            stack.append([branches(waste), None, 0])
         elif not stack:
             break
         top = stack[-1]
@@ -264,17 +269,18 @@ def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3
             path.pop()
             waste -= (capacity - sum(top[1])) * top[2]
             top[1] = None
-        if not top[0]:
+        nodes += 1
+        found = next(top[0], "none left")
+        if found == "none left":
             stack.pop()
             if not stack:
                 break
-            continue
-        pattern = top[0].pop()
-        times = min(counts[n] // pattern.count(n) for n in set(pattern))
-        apply(pattern, -times)
-        path.append((pattern, times))
-        waste += (capacity - sum(pattern)) * times
-        top[1], top[2] = pattern, times
+        elif found is not None:
+            pattern, times = found
+            apply(pattern, -times)
+            path.append((pattern, times))
+            waste += (capacity - sum(pattern)) * times
+            top[1], top[2] = pattern, times
     return best, bound
 
 

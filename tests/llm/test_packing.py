@@ -55,6 +55,12 @@ def test_histogram_of_any_count():
     assert len(slots(patterns)) < 20000
 
 
+def test_many_pieces_beside_the_longest():
+    # 2 * 206 + 3 * 204 = 1024; best fit puts five of 204 together and wastes the rest
+    patterns, bound = bin_completion(Counter({206: 2000, 204: 3000}), 1024)
+    assert sum(t for _, t in patterns) == bound == 1000
+
+
 @pytest.mark.parametrize("n,want", [(1, [(0, 1)]), (10, [(0, 10)]), (11, [(0, 1), (1, 10)]), (20, [(0, 10), (10, 10)]), (25, [(0, 5), (5, 10), (15, 10)])])
 def test_piece_bounds(n, want):
     assert piece_bounds(n, 10) == want
