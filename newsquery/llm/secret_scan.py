@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Candidates: 12 and more characters, with a digit or both cases among them (prose words have neither).
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-.~])[A-Za-z0-9+/_\-.~]{12,512}={0,2}(?![A-Za-z0-9+/_\-.~])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-.~])[A-Za-z0-9+/_\-.~]{12,}={0,2}(?![A-Za-z0-9+/_\-.~])")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -224,19 +224,16 @@ class SecretModel:
     dictionary: list[str]
 
 
-def fit(docs: DataFrame, findings: DataFrame | None = None, sample: int = 2000, most_words: int = 5000, most_findings: int = 20000, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
-    """Learns the dictionary from about ``sample`` texts chosen by a hash of their id, and the forest from findings.
+def fit(docs: DataFrame, findings: DataFrame | None = None, most_words: int = 5000, most_findings: int = 20000, text_col: str = "text") -> SecretModel:
+    """Learns the dictionary from the words of all texts, the most frequent ``most_words`` of them, and the forest from findings.
 
     ``findings``: (text, begin, end, label) judged by people, of which at most ``most_findings`` are read; without
     them, ``example_findings``. Rows with a null are not learned from. The driver gets ``most_words`` words.
     """
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    n = rows.count()
-    share = min(1.0, sample / max(1, n))
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
     # runs of letters alone: the letters of a key with digits are no words
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: w.rlike(r"^\p{L}{2,14}$")))
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode(words).alias("w"))
-    found = chosen.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most_words).collect()
+    found = rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most_words).collect()
     dictionary = [r["w"] for r in found]
     if findings is None:
         labelled = example_findings(dictionary[:1500])
@@ -252,7 +249,7 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, sample: int = 2000,
 def scan(docs: DataFrame, model: SecretModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", all_candidates: bool = True) -> DataFrame:
     """(id, begin, end, probability, is_secret) of every candidate in every whole text, or of the secrets alone.
 
-    One narrow stage. ``begin`` and ``end`` count characters; a candidate of over 512 characters is no candidate.
+    One narrow stage. ``begin`` and ``end`` count characters; a candidate may be of any length.
     Null and empty texts have none; a null id is kept. Repeated rows give repeated findings. The value itself is
     not returned, so that results hold no secrets.
     """
