@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediates: spark.checkpoint.dir, or one folder of our own where it is unset."""
+    """The shared folder for intermediates: spark.checkpoint.dir, or one folder of our own where it is unset and all runs in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share: intermediates are written there")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="newsquery-"))
         atexit.register(shutil.rmtree, _own_scratch[0], ignore_errors=True)
@@ -104,6 +107,12 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def in_share(column, share) -> F.Column:
+    """True for that share of the values, by their hash as a fraction: no share is too small to choose anything."""
+    whole = 1 << 62
+    return F.pmod(F.xxhash64(column), F.lit(whole)).cast("double") < F.lit(float(whole)) * share
+
+
 def is_held_out(doc_id: int | None) -> bool | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5 == 0
 
@@ -197,21 +206,22 @@ def slices(lengths: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
 # --- components -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """(id, component): for each node of an edge, the smallest node that it reaches.
 
     Alternating large-star and small-star rounds. Every round is two aggregations and two equi-joins, its
-    result is written, and nothing but a count and a checksum reaches the driver. Rounds grow with the
-    logarithm of the longest path. Nulls in either end are no edge; loops and repeated edges are harmless.
+    result is written, and nothing but counts reaches the driver. It ends when every node has one edge, to a node
+    that has none of its own. Rounds grow with the logarithm of the longest path; RuntimeError after ``most_rounds``
+    instead of an unfinished answer. Nulls in either end are no edge; loops and repeated edges are harmless.
     """
     spark = edges.sparkSession
     now = materialise(
         edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).filter("u is not null and v is not null and u <> v").distinct(), "edges"
     )
-    mark = _checksum(now)
     for _ in range(most_rounds):
-        if not mark[0]:
-            break
+        if _are_stars(now):
+            stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -219,15 +229,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         before, now = now, materialise(small.filter("u <> v").distinct(), "stars")
         discard(before)
-        last, mark = mark, _checksum(now)
-        if mark == last:
-            break
-    stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct()) if mark[0] else spark.createDataFrame([], "id long, component long")
+    raise RuntimeError(f"components are not united after {most_rounds} rounds")
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.max("u")).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every upper end of an edge has that edge alone and is no lower end."""
+    return edges.groupBy("u").count().filter("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -248,9 +255,6 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
 
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies on this machine; executors resolve it themselves."""
-    folder = os.environ.get("PUBLIC_TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
     import public_tokenizers
 
     return public_tokenizers.path(name)

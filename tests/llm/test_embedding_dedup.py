@@ -1,7 +1,9 @@
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from newsquery.llm.embedding_dedup import near_duplicates, passes_needed
+from newsquery.llm.embedding_dedup import _needs, _spanning, near_duplicates, passes_needed
 
 
 def brute(rows, least):
@@ -72,12 +74,53 @@ def test_passes_grow_with_the_logarithm():
     assert passes_needed(1000, 0.98) <= passes_needed(10**6, 0.98) <= passes_needed(10**9, 0.98) <= 64
 
 
-def test_isolated_pairs_of_a_dense_label(spark):
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    once = sorted(tuple(r) for r in near_duplicates(df).collect())
+    assert once == sorted(tuple(r) for r in near_duplicates(df.orderBy(F.desc("vec_id"))).collect())
+    assert len(once) == 4 and once[0] == once[1] and once[0][1] == 1
+    assert {r[0]: r[1] for r in once} in ({1: 1, 2: 1, 3: 0}, {1: 1, 2: 0, 3: 1})
+
+
+@pytest.mark.parametrize("size", [0, 1, 5, 16, 17, 40, 200])
+def test_bits_needed_against_brute_force(size):
+    keys = np.sort(np.random.default_rng(size).integers(0, 1 << 63, size) >> 50 << 50)
+    block = 16
+    shares = lambda k, bits: sum(x >> (63 - bits) == k >> (63 - bits) for x in keys.tolist()) if bits else size
+    # the least number that leaves no more than a block, unless two keys a block apart around it share more
+    for k, need in zip(keys.tolist(), _needs(keys, block).tolist()):
+        assert need > 63 or shares(k, need) <= block
+        assert need == 0 or size > block
+
+
+@pytest.mark.parametrize("density", range(4))
+def test_spanning_pairs_connect_the_same(density):
+    rng = np.random.default_rng(density)
+    main, n = 20, 50
+    near = rng.random((main, n)) < [0.0, 0.02, 0.1, 0.7][density]
+    near[:, :main] |= near[:, :main].T
+    parts = lambda pairs: sorted(map(sorted, _parts(n, pairs)))
+    assert parts(zip(*map(np.ndarray.tolist, _spanning(near, main)))) == parts(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+
+
+def _parts(n, pairs):
+    own = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if own[a] is not own[b]:
+            own[a] |= own[b]
+            for x in own[b]:
+                own[x] = own[a]
+    return {id(s): s for s in own.values()}.values()
+
+
+@pytest.mark.parametrize(("cosine", "n"), [(0.9, 12000), (0.93, 12000), (0.95, 30000), (0.96, 12000)])
+def test_isolated_pairs_of_a_dense_label(spark, cosine, n):
     rng = np.random.default_rng(4)
-    n, planted, dim = 30000, 300, 64
+    planted, dim = 300, 64
     mean = rng.standard_normal(dim)
     mean /= np.linalg.norm(mean)
-    v = np.sqrt(0.95) * mean + np.sqrt(0.05 / dim) * rng.standard_normal((n, dim))
+    v = np.sqrt(cosine) * mean + np.sqrt((1 - cosine) / dim) * rng.standard_normal((n, dim))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     for k in range(planted):  # a pair at cosine 0.982: turned by its angle in a random plane
         side = rng.standard_normal(dim)
