@@ -8,11 +8,13 @@ a sequence) with multiplicities. Every piece then finds its place from its rank
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +24,24 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, tokenizer_path
 
-# The pattern that byte-level vocabularies of this kind split texts by.
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_log = logging.getLogger(__name__)
 
-#: Texts of these characters alone take the faster encoder: their classes are the same in all Unicode versions.
-_COMMON = re.compile(r"[\t\n\r -~¡-ԧ]*\Z")
-
-
-def _byte_letters() -> dict[str, int]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others moved up."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: Where a text may be cut before it is encoded: in front of a single space between characters that are white space in
+#: no Unicode version. The byte-level pattern takes such a space with what follows it, and no match goes across it.
+_CUT = re.compile(r"(?<=[!-~¡-ԧ])(?= [!-~¡-ԧ])")
+_BEGIN = re.compile(r" [!-~¡-ԧ]")
+#: Longer parts are encoded but not remembered, and so many are remembered by a task: bounds of memory only.
+MOST_CHARS, MOST_PARTS = 64, 1 << 17
 
 
 @lru_cache(maxsize=2)
 def id_encoder(name: str):
     """A function from texts to arrays of ids, as the tokenizers library gives them for the file ``name``.
 
-    For a plain byte-level BPE file the same merges are also loaded as ranks, which tiktoken applies several times
-    faster. It is used only for texts of characters whose classes no Unicode version disputes and without strings
-    of added tokens; all others go through the library itself. A test holds the two against each other.
+    If the file splits texts by the byte-level pattern before it merges, texts are cut at the spaces where that
+    pattern ends a match (``_CUT``), and the library encodes the distinct parts that a task does not remember. Texts
+    with strings of added tokens, and all texts for files of other kinds, go to the library whole. Tests hold the two
+    against each other.
     """
     from tokenizers import Tokenizer
 
@@ -50,36 +49,54 @@ def id_encoder(name: str):
     model.no_truncation()
     model.no_padding()
 
-    def slow(texts: list[str]) -> list[np.ndarray]:
+    def whole(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in model.encode_batch(texts, add_special_tokens=False)]
 
     with open(tokenizer_path(name), encoding="utf-8") as f:
         spec = json.load(f)
-    bpe, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    pre = spec.get("pre_tokenizer") or {}
     added = [x["content"] for x in spec.get("added_tokens", [])]
-    plain = (
-        bpe.get("type") == "BPE"
-        and not any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        and pre.get("type") == "ByteLevel"
-        and pre.get("use_regex", True)
-        and not pre.get("add_prefix_space")
-        and spec.get("normalizer") is None
-        and spec.get("post_processor", None) is None
-    )
-    letters = _byte_letters()
-    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in bpe.get("merges", [])]
-    if not plain or any(bpe["vocab"][m] != 256 + i for i, m in enumerate(merged)) or any(c not in letters for t in bpe["vocab"] for c in t):
-        return slow
-    import tiktoken
-
-    ranks = {bytes(letters[c] for c in t): i for t, i in bpe["vocab"].items()}
-    fast = tiktoken.Encoding(name, pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") is not None or spec.get("post_processor") is not None:
+        return whole
+    # a byte-level vocabulary writes each byte as one character
+    n_bytes = np.zeros(max(spec["model"]["vocab"].values(), default=0) + 1, np.int64)
+    n_bytes[list(spec["model"]["vocab"].values())] = [len(t) for t in spec["model"]["vocab"]]
+    recent: dict[str, bytes] = {}  # parts and their ids, little-endian
+    before: dict[str, bytes] = {}
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        out: list = [fast.encode_to_numpy(t).astype("<u4", copy=False) if _COMMON.match(t) and not any(s in t for s in added) else None for t in texts]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, slow([texts[i] for i in rest]) if rest else ()):
+        nonlocal recent, before
+        out: list = [None] * len(texts)
+        rest = [i for i, t in enumerate(texts) if any(s in t for s in added)]
+        for i, ids in zip(rest, whole([texts[i] for i in rest]) if rest else ()):
             out[i] = ids
+        cut = {i: _CUT.split(t) for i, t in enumerate(texts) if out[i] is None}
+        new = []
+        for p in set(chain.from_iterable(cut.values())):
+            if p not in recent:
+                if p in before:
+                    recent[p] = before[p]
+                else:
+                    new.append(p)
+        # parts that begin like those behind a cut are encoded in one row, as no match goes across their ends
+        row, alone = [], []
+        for p in new:
+            (row if _BEGIN.match(p) else alone).append(p)
+        ids = np.array(model.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids, "<u4") if row else np.empty(0, "<u4")
+        ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(p.encode()) for p in row])) + 1
+        ids, at = ids.tobytes(), 0
+        for p, end in zip(row, (4 * ends).tolist()):
+            recent[p] = ids[at:end]
+            at = end
+        for p, x in zip(alone, model.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
+            recent[p] = np.array(x.ids, "<u4").tobytes()
+        for i, parts in cut.items():
+            out[i] = np.frombuffer(b"".join(map(recent.__getitem__, parts)), "<u4")
+        for p in new:
+            if len(p) > MOST_CHARS:
+                del recent[p]
+        if len(recent) > MOST_PARTS:
+            recent, before = {}, recent
         return out
 
     return encode
@@ -149,10 +166,12 @@ def _dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], len
     return False
 
 
-def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...] | None]:
-    """All undominated ways to fill ``room`` with any number of pieces, least waste first; None for each dominated one.
+def fillings(room: int, counts: dict[int, int], tolerance: int = 0) -> Iterator[tuple[int, ...] | None]:
+    """All undominated ways to fill ``room`` with any number of pieces; None for each dominated one.
 
-    They are found one by one, as far as the caller reads. Only sums that the counts can reach are followed.
+    First those that waste no more than ``tolerance``, the longest pieces first, so that short ones are left for what
+    is hard to fill; then the others, least waste first. They are found one by one, as far as the caller reads. Only
+    sums that the counts can reach are followed.
     """
     lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
     mask = (1 << (room + 1)) - 1
@@ -166,23 +185,26 @@ def fillings(room: int, counts: dict[int, int]) -> Iterator[tuple[int, ...] | No
         reach.append(sums)
     reach.reverse()
 
-    def exact(i: int, r: int) -> Iterator[tuple[int, ...]]:
-        if not r:
-            yield ()
-            return
+    def within(i: int, r: int, slack: int) -> Iterator[tuple[int, ...]]:
+        """The fillings by lengths from the i-th on whose sum is at most r and at least r - slack."""
+        low = max(0, r - slack)
+        window = (1 << (r - low + 1)) - 1
         for j in range(i, len(lengths)):
-            if not reach[j] >> r & 1:
+            if not (reach[j] >> low) & window:
                 return
             n = lengths[j]
             for k in range(min(counts[n], r // n), 0, -1):
-                if reach[j + 1] >> (r - k * n) & 1:
-                    for rest in exact(j + 1, r - k * n):
+                left = r - k * n
+                if (reach[j + 1] >> max(0, left - slack)) & ((1 << (min(left, slack) + 1)) - 1):
+                    for rest in within(j + 1, left, slack):
                         yield (n,) * k + rest
+        if not low:
+            yield ()
 
-    for target in range(room, -1, -1):
-        if reach[0] >> target & 1:
-            for filling in exact(0, target):
-                yield None if _dominated(filling, room - target, counts, lengths) else filling
+    tolerance = min(tolerance, room)
+    for top, slack in ((room, tolerance), *((t, 0) for t in range(room - tolerance - 1, -1, -1))):
+        for filling in within(0, top, slack):
+            yield None if _dominated(filling, room - sum(filling), counts, lengths) else filling
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -205,34 +227,56 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return out
 
 
+#: What the longest pieces may waste in the orders of branches that the search tries one after the other.
+TOLERANCES = (0, 1, 2, 4, 8, 16, 32)
+
+
 def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3000) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """([(lengths that share a sequence, number of such sequences)], lower bound).
 
     Branch and bound: a node takes the longest piece left, branches over all undominated fillings around it and over
     the number of equal sequences (as many as the counts allow, then halves of that: their sums are all numbers), and
     is left when its waste is more than a better packing could have. The best-fit packing is the first incumbent.
-    ``most_nodes`` bounds the fillings tried, never the pieces packed.
+    The search runs once for each order of branches (``TOLERANCES``, see ``fillings``) until the bound is met or one
+    of them has looked everywhere. Packing is NP-hard: ``most_nodes`` bounds the fillings tried in an order, never
+    the pieces packed, and the result beside the bound says what may be left to gain.
     """
     histogram = {n: c for n, c in histogram.items() if c}
-    total, bound = sum(n * c for n, c in histogram.items()), lower_bound(histogram, capacity)
+    bound = lower_bound(histogram, capacity)
     best = best_fit(histogram, capacity)
+    for tolerance in TOLERANCES:
+        if sum(t for _, t in best) == bound:
+            break
+        best, whole = _search(histogram, capacity, best, bound, tolerance, most_nodes)
+        if whole:
+            break
+    return best, bound
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list, bound: int, tolerance: int, most_nodes: int) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """(the best packing found, whether no better one is left to find) of one order of branches."""
+    total = sum(n * c for n, c in histogram.items())
     best_n = sum(t for _, t in best)
     counts, path, nodes = dict(histogram), [], 0
     stack: list[list] = []  # of the nodes on the path: [branches left, pattern taken or None, times]
     waste = 0
 
     def branches(before: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
-        """(pattern, times) from the least waste on, new patterns and fewer times in turn; None for a dominated filling."""
+        """(pattern, times), new patterns and fewer times in turn; None for a dominated or too wasteful filling."""
         own, top = dict(counts), max(counts)
         own[top] -= 1
         fewer: deque = deque()
-        for filling in fillings(capacity - top, own):
+        for filling in fillings(capacity - top, own, tolerance):
             if filling is None:
                 yield None
                 continue
             pattern = (top, *filling)
-            if before + capacity - sum(pattern) > (best_n - 1) * capacity - total:
-                break  # the others waste no less
+            more = capacity - sum(pattern)
+            if before + more > (best_n - 1) * capacity - total:
+                if more > tolerance:
+                    break  # the others waste no less
+                yield None
+                continue
             times = min(counts[n] // pattern.count(n) for n in set(pattern))
             yield pattern, times
             fewer.append((pattern, times // 2))
@@ -262,7 +306,7 @@ def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3
         if counts and (not stack or stack[-1][1] is not None) and waste <= allowed:
             stack.append([branches(waste), None, 0])
         elif not stack:
-            break
+            return best, True
         top = stack[-1]
         if top[1] is not None:  # come back to it: undo
             apply(top[1], top[2])
@@ -274,14 +318,14 @@ def bin_completion(histogram: dict[int, int], capacity: int, most_nodes: int = 3
         if found == "none left":
             stack.pop()
             if not stack:
-                break
+                return best, True
         elif found is not None:
             pattern, times = found
             apply(pattern, -times)
             path.append((pattern, times))
             waste += (capacity - sum(pattern)) * times
             top[1], top[2] = pattern, times
-    return best, bound
+    return best, best_n <= bound
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -308,7 +352,8 @@ def pack(cut: DataFrame, capacity: int = 1024, salts: int = 32, most_nodes: int
     cut = materialise(cut, "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     per_salt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    patterns, _ = bin_completion(counts, capacity, most_nodes)
+    patterns, bound = bin_completion(counts, capacity, most_nodes)
+    _log.info("%d sequences, %d at least are needed", sum(t for _, t in patterns), bound)
     # at most capacity * salts rows: a bound that no corpus changes
     before = per_salt.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
