@@ -6,6 +6,7 @@ The lexicon (whole words and word stems) and the weights are learned from labell
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise
+from .common import held_out, in_share, materialise
 
 _TOKEN = re.compile(r"[^\W_]+")
-_QUOTES = "\"“”«»„‟"
+_QUOTE = re.compile("[\"“”«»„‟]")
+_LINE_END = re.compile("\n")
 
 # Words that report what someone else said, and words that address the reader.
 REPORTING = frozenset("said says quote quoted quotes wrote called word term insult slur reported according sagte schrieb zitat wort dit mot citation dijo palabra cita".split())
@@ -158,15 +160,20 @@ class Scanner:
         if not found:
             return []
         tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(low)]
+        # places of quotation marks, and of each line's end how many marks stand before it
+        quotes = [m.start() for m in _QUOTE.finditer(low)]
+        ends = [*(m.start() for m in _LINE_END.finditer(low)), len(low)] if quotes else []
+        until = [bisect_left(quotes, e) for e in ends]
         out = []
         for i, (t, begin, end) in enumerate(tokens):
             if t not in found:
                 continue
             near = tokens[max(0, i - window) : i] + tokens[i + 1 : i + 1 + window]
-            line = low.rfind("\n", 0, begin) + 1
-            stop = low.find("\n", end)
-            before = sum(low.count(q, line, begin) for q in _QUOTES)
-            quoted = before % 2 == 1 and any(q in low[end : stop if stop >= 0 else len(low)] for q in _QUOTES)
+            quoted = False
+            if quotes:
+                line = bisect_left(ends, begin)
+                before = bisect_left(quotes, begin)
+                quoted = (before - (until[line - 1] if line else 0)) % 2 == 1 and until[line] > before
             quotation = 0.6 * quoted + 0.4 * any(x in REPORTING for x, *_ in near)
             left, right = (near[0][1], near[-1][2]) if near else (begin, end)
             abuse = 0.4 * any(x in ADDRESSING for x, *_ in near) + 0.4 * any(x in found for x, *_ in near) + 0.2 * ("!" in low[left : right + 2])
@@ -196,8 +203,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_
         marks = marks.filter(~held_out(F.col("id")))
     marks = marks.groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # at most `sample` ids a label: the size bound of the broadcast
-    chosen = [marks.filter(F.col("y") == y).filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(min(1.0, sample / n[y]) * 1_000_000)).limit(sample + sample // 5) for y in n]
+    # about `sample` ids a label, never over 1.2 times that: the size bound of the broadcast
+    chosen = [marks.filter(F.col("y") == y).filter(in_share("id", min(1.0, sample / n[y]))).limit(sample + sample // 5) for y in n]
     if not chosen:
         return docs.select(F.lit(0).cast("long").alias("id"), F.lit("").alias("text"), F.lit(0).alias("y")).limit(0)
     picked = chosen[0] if len(chosen) == 1 else chosen[0].unionByName(chosen[1])

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -102,3 +104,39 @@ def test_nothing_to_learn_from(spark):
     assert model.terms == [] and tx.score(docs, model).first()["predicted"] == 0
     assert tx.score(docs.limit(0), model).collect() == []
     assert tx.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).terms == []
+
+
+def test_contexts_against_a_plain_reading():
+    """Quotation marks counted from each line's begin for every hit."""
+    rng = random.Random(9)
+    scanner = tx.Scanner(["loser", "moron*"], [1, 0])
+    for _ in range(300):
+        text = "".join(rng.choice(["loser", "moronic", "loosr", " ", " ", " ", '"', "“", "»", "\n", "you", "said", "!", "plain"]) for _ in range(rng.randint(0, 60)))
+        low = text.lower()
+        tokens = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+        hits = [scanner.automaton.match(t) for t, *_ in tokens]
+        want = []
+        for i, (t, a, b) in enumerate(tokens):
+            if not hits[i]:
+                continue
+            line = low[low.rfind("\n", 0, a) + 1 :].split("\n")[0]
+            at = a - (low.rfind("\n", 0, a) + 1)
+            quoted = sum(c in "\"“”«»„‟" for c in line[:at]) % 2 == 1 and any(c in "\"“”«»„‟" for c in line[at + b - a :])
+            near = [j for j in range(max(0, i - 6), min(len(tokens), i + 7)) if j != i]
+            quotation = 0.6 * quoted + 0.4 * any(tokens[j][0] in tx.REPORTING for j in near)
+            span = low[tokens[near[0]][1] if near else a : (tokens[near[-1]][2] if near else b) + 2]
+            abuse = 0.4 * any(tokens[j][0] in tx.ADDRESSING for j in near) + 0.4 * any(hits[j] is not None for j in near) + 0.2 * ("!" in span)
+            want.append((*hits[i], a, b, 1 - 0.8 * max(0.0, quotation - 0.5 * abuse)))
+        assert scanner.scan(text) == want
+
+
+def test_time_is_linear_in_the_hits_of_a_line():
+    scanner = tx.Scanner(["loser"], [1])
+    seconds = []
+    for n in (4000, 32000):
+        text = '"loser" and ' * n
+        scanner.scan(text)
+        start = time.perf_counter()
+        assert len(scanner.scan(text)) == n
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 30 * seconds[0]
