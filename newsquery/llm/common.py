@@ -37,12 +37,17 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_own_scratch[0]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there, so lost executors cost no recomputation."""
+def materialise(df: DataFrame, name: str, made: list[DataFrame] | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there, so lost executors cost no recomputation.
+
+    The frame joins the list ``made`` of those that the caller will ``discard``.
+    """
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _written[path] = back
+    if made is not None:
+        made.append(back)
     return back
 
 
@@ -57,11 +62,6 @@ def discard(*frames: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written() -> list[DataFrame]:
-    """The materialised frames whose files are still there."""
-    return list(_written.values())
-
-
 # --- bitmaps: sets of bounded size that tasks test against ------------------------------------
 
 
@@ -206,13 +206,14 @@ def slices(lengths: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
 # --- components -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100, made: list[DataFrame] | None = None) -> DataFrame:
     """(id, component): for each node of an edge, the smallest node that it reaches.
 
     Alternating large-star and small-star rounds. Every round is two aggregations and two equi-joins, its
     result is written, and nothing but counts reaches the driver. It ends when every node has one edge, to a node
     that has none of its own. Rounds grow with the logarithm of the longest path; RuntimeError after ``most_rounds``
-    instead of an unfinished answer. Nulls in either end are no edge; loops and repeated edges are harmless.
+    instead of an unfinished answer. Nulls in either end are no edge; loops and repeated edges are harmless. The
+    result reads a written frame, which joins ``made``.
     """
     spark = edges.sparkSession
     now = materialise(
@@ -220,6 +221,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     )
     for _ in range(most_rounds):
         if _are_stars(now):
+            if made is not None:
+                made.append(now)
             stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
             return stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +66,21 @@ class Items:
         self.distinct = np.unique(self.seed)
 
     def choose(self, df: np.ndarray, rare: float, docs: int) -> None:
-        """Keeps of each item the seeds in at most ``rare`` of the documents, and at least the rarer half of its seeds.
+        """Keeps of each item the seeds in at most ``rare`` of the documents, and enough others to find every kind of copy.
 
-        So an item that thousands of documents hold, whose every seed is frequent, is still found.
+        Those are the rarer half of its seeds and the rarer one of each two neighbours, so that a copy of any part
+        of the item holds some, and all seeds of an item that has no rare one, as thousands of documents hold it.
         """
         of = df[np.searchsorted(self.distinct, self.seed)] if len(self.seed) else np.empty(0)
         keep = of <= rare * docs
-        for k in range(len(self.words)):
-            at = np.flatnonzero(self.owner == k)
-            keep[at[np.argsort(of[at], kind="stable")[: (len(at) + 1) // 2]]] = True
+        ends = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
+        for lo, hi in zip(ends.tolist(), ends[1:].tolist()):
+            if not keep[lo:hi].any():
+                keep[lo:hi] = True
+                continue
+            keep[lo + np.argsort(of[lo:hi], kind="stable")[: (hi - lo + 1) // 2]] = True
+            first = np.arange(lo, hi - 1, 2)
+            keep[np.where(of[first] <= of[first + 1], first, first + 1)] = True
         order = np.flatnonzero(keep)
         order = order[np.argsort(self.seed[order], kind="stable")]
         self.seed, self.owner, self.place = self.seed[order], self.owner[order], self.place[order]
@@ -118,67 +125,100 @@ class Items:
         return out
 
 
-def _texts(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        words, _, _, ends, _ = words_of(part.column(1).to_pylist(), letters_only=True)
-        yield part.column(0).to_pylist(), np.split(words, ends[:-1])
+def _texts(texts: pa.Array, rows: int) -> Iterator[list[np.ndarray]]:
+    """The hashed words of each text, of ``rows`` texts at a time."""
+    for at in range(0, len(texts), rows):
+        words, _, _, ends, _ = words_of(texts.slice(at, rows).to_pylist(), letters_only=True)
+        yield np.split(words, ends[:-1])
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, rare: float = 1e-4, block: int = 5000, rows: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
-    """(id, item id, score, n_equal, begin, end) of every pair of a document and a test item that it holds a copy of.
-
-    Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case. A seed is a run of n words of an item
-    (all words of a shorter one). A first pass over the corpus counts the documents of each seed; the second aligns
-    every item with the places where one of its rare seeds occurs. ``score`` is the alignment's score over that of
-    the whole item; a pair is returned from ``least`` on. ``begin`` and ``end`` are word numbers.
+def _blocks(texts: DataFrame, items: DataFrame, n: int, rare: float, block_words: int, rows: int, item_col: str, item_text_col: str) -> Iterator[Items]:
+    """The test items with the seeds to look for, in blocks of about ``block_words`` words.
 
-    Tasks get at most ``block`` items at a time, whatever the number of items, and the driver one count for each of
-    their seeds. Items or documents without words match nothing, as do those with a null id or text. Rows that
-    repeat an id are each compared; one row is returned for each pair of row and item.
+    A pass over the corpus counts in how many documents each seed of a block stands; the driver gets one count for
+    each seed of the block, as Arrow columns.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
-    out, block_rows = None, []
-    schema = f"{id_col} long, {item_col} long, score double, n_equal int, begin int, end int"
 
-    def joined(rows_of: list[tuple[int, str]]) -> DataFrame:
-        block_items = Items(rows_of, n)
+    def made(rows_of: list[tuple[int, str]]) -> Items:
+        block = Items(rows_of, n)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, seen = np.zeros(len(block_items.distinct), np.int64), 0
+            total, seen = np.zeros(len(block.distinct), np.int64), 0
             for batch in batches:
-                for ids, words in _texts(batch, rows):
-                    seen += len(ids)
-                    for w in words:
-                        for at, _ in block_items.hits(w):
+                for texts_words in _texts(batch.column(0), rows):
+                    seen += len(texts_words)
+                    for w in texts_words:
+                        for at, _ in block.hits(w):
                             total[np.unique(at)] += 1
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], ["seed", "df"])
 
-        counts = {r["seed"]: r["df"] for r in texts.mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).collect()}
-        df = np.zeros(len(block_items.distinct), np.int64)
-        for seed, c in counts.items():
-            if seed >= 0:
-                df[seed] = c
-        block_items.choose(df, rare, counts.get(-1, 0))
+        counts = texts.mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).toArrow()
+        seeds, found = counts.column("seed").to_numpy(), counts.column("df").to_numpy()
+        df = np.zeros(len(block.distinct), np.int64)
+        df[seeds[seeds >= 0]] = found[seeds >= 0]
+        block.choose(df, rare, int(found[seeds < 0].sum()))
+        return block
+
+    wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("item is not null and text is not null").distinct()
+    rows_of, words = [], 0
+    for r in wanted.orderBy("item", "text").toLocalIterator():
+        rows_of.append((r["item"], r["text"]))
+        words += len(r["text"].split())
+        if words >= block_words:
+            yield made(rows_of)
+            rows_of, words = [], 0
+    if rows_of:
+        yield made(rows_of)
+
+
+def contaminated(
+    docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, rare: float = 1e-4, block_words: int = 1_000_000, rows: int = 256, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """(id, item id, score, n_equal, begin, end) of every pair of a document and a test item that it holds a copy of.
+
+    Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case. A seed is a run of n words of an item
+    (all words of a shorter one). A first pass over the corpus counts the documents of each seed; the second aligns
+    every item with the places where one of its kept seeds occurs. ``score`` is the alignment's score over that of
+    the whole item; a pair is returned from ``least`` on. ``begin`` and ``end`` are word numbers.
+
+    Tasks hold about ``block_words`` words of items at a time, whatever the number of items: each block takes two
+    passes over the corpus. Items or documents without words or with a null text match nothing, as do items with a
+    null id. Documents with a null id are compared too. Rows that repeat an id are each compared; one row is
+    returned for each pair of row and item.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    schema = f"{id_col} long, {item_col} long, score double, n_equal int, begin int, end int"
 
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(block: Items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(i, *x) for ids, words in _texts(batch, rows) for i, w in zip(ids, words) for x in block_items.matches(w, least)]
+                words = (w for part in _texts(batch.column(1), rows) for w in part)
+                found = [(i, *x) for i, w in zip(batch.column(0).to_pylist(), words) for x in block.matches(w, least)]
                 columns = list(zip(*found)) or [()] * 6
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [id_col, item_col, "score", "n_equal", "begin", "end"])
 
-        return texts.mapInArrow(match, schema)
+        return run
 
-    for r in wanted.orderBy("item", "text").toLocalIterator():
-        block_rows.append((r["item"], r["text"]))
-        if len(block_rows) == block:
-            out = joined(block_rows) if out is None else out.unionByName(joined(block_rows))
-            block_rows = []
-    if block_rows or out is None:
-        out = joined(block_rows) if out is None else out.unionByName(joined(block_rows))
+    found = [texts.mapInArrow(match(block), schema) for block in _blocks(texts.select("text"), items, n, rare, block_words, rows, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, rare: float = 1e-4, block_words: int = 1_000_000, rows: int = 256, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no copy of a test item (see ``contaminated``).
+
+    Each row is judged by its own text, whatever its id: null ids and repeated ids are no exceptions, and null and
+    empty texts stay. All blocks of items are aligned in one pass.
+    """
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    at_text, out = docs.columns.index(text_col), docs
+    for block in _blocks(texts, items, n, rare, block_words, rows, item_col, item_text_col):
+
+        def keep(batches: Iterator[pa.RecordBatch], block: Items = block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fine = [not block.matches(w, least) for part in _texts(batch.column(at_text), rows) for w in part]
+                yield batch.filter(pa.array(fine, pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
     return out

@@ -324,7 +324,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, passes: int
     reps = materialise(own.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
     classes = materialise(usable.join(reps.withColumnRenamed("rep", "id"), ["id", *key]).dropDuplicates(["id"]).select("id", "label", "dim", "v", "copies"), "classes")
     edges, made = _links(classes.drop("copies"), least_cosine, passes, block, seed)
-    groups = materialise(components(edges).withColumnRenamed("component", "comp"), "groups")
+    groups = materialise(components(edges, made=made).withColumnRenamed("component", "comp"), "groups")
     discard(*made)
     links = materialise(_counted(classes.join(groups, "id").select("id", "comp", "dim", "v", "copies"), least_cosine), "links")
     known = own.join(reps, key).select("id", "rep", "copies").join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")

@@ -220,14 +220,14 @@ def _whole_sets(docs: DataFrame, need: DataFrame, n: int) -> DataFrame:
     return docs.filter("id is not null").withColumn("bucket", buckets("id", bits)).mapInArrow(sets, "id long, tokens binary").join(need, "id")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, salts: int = 64) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, made: list[DataFrame], salts: int = 64) -> DataFrame:
     """Of the pairs (a, b) those whose whole sets are linked.
 
     Pairs are dealt by (a, salt of b), and a task holds one set of each a at a time, so no document has too many
     partners.
     """
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
-    need = materialise(dealt.select(F.col("a").alias("id"), "a", "salt").distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "salt").distinct()), "partners")
+    need = materialise(dealt.select(F.col("a").alias("id"), "a", "salt").distinct().unionByName(dealt.select(F.col("b").alias("id"), "a", "salt").distinct()), "partners", made)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, []
@@ -268,7 +268,7 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     return np.nonzero(near)
 
 
-def _compared(groups: DataFrame, docs: DataFrame, n: int, percent: int, block: int = 256) -> DataFrame:
+def _compared(groups: DataFrame, docs: DataFrame, n: int, percent: int, made: list[DataFrame], block: int = 256) -> DataFrame:
     """(a, b): of the links within each group (id, comp, n) a set with the same components.
 
     Groups of up to ``block`` documents are compared whole. A larger group is cut by size (linked sets differ by one
@@ -280,7 +280,7 @@ def _compared(groups: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     rows = groups.join(total, "comp").withColumn("step", F.when(F.col("total") > block, step).otherwise(F.lit(0)).cast("int"))
     cells = rows.groupBy("comp", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("cut"))
     rows = rows.join(cells, ["comp", "step"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int"))
-    rows = materialise(rows.select("id", "comp", "step", "cut", "own"), "cells")
+    rows = materialise(rows.select("id", "comp", "step", "cut", "own"), "cells", made)
     other = rows.select("comp", "step", F.col("cut").alias("cuts")).distinct()
     unit = lambda s, t, i, j: F.struct("comp", s.cast("int").alias("s"), t.cast("int").alias("t"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     every = lambda first, last: F.explode(F.sequence(first, last))
@@ -290,7 +290,7 @@ def _compared(groups: DataFrame, docs: DataFrame, n: int, percent: int, block: i
     theirs = rows.filter("own > 0").select("id", "comp", "step", "own", every(zero, col("own") - 1).alias("i")).select("id", F.lit(1).alias("side"), unit(col("step"), col("step"), col("i"), col("own")).alias("unit"))
     up = rows.join(other.withColumn("step", col("step") - 1), ["comp", "step"]).select("id", "comp", "step", "own", every(zero, col("cuts") - 1).alias("j")).select("id", zero.alias("side"), unit(col("step"), col("step") + 1, col("own"), col("j")).alias("unit"))
     down = rows.join(other.withColumn("step", col("step") + 1), ["comp", "step"]).select("id", "comp", "step", "own", every(zero, col("cuts") - 1).alias("i")).select("id", F.lit(1).alias("side"), unit(col("step") - 1, col("step"), col("i"), col("own")).alias("unit"))
-    need = materialise(mine.unionByName(theirs).unionByName(up).unionByName(down).select("id", "side", "unit.*"), "units")
+    need = materialise(mine.unionByName(theirs).unionByName(up).unionByName(down).select("id", "side", "unit.*"), "units", made)
     names = ["comp", "s", "t", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,35 +340,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     component, or null. Rows that repeat an id are one document. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    small = materialise(_sets(rows, n), "sets")
+    made: list[DataFrame] = []  # frames to delete once links are known
+    lasting: list[DataFrame] = []  # and once components are
+    small = materialise(_sets(rows, n), "sets", lasting)
     reps = small.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     whole = _indexed(rows.filter("id is not null"), n, percent).filter("n > 0")
-    classes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch")).drop("s1", "s2"), "classes")
-    frequent = materialise(_tokens(classes).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > RARE), "frequent")
+    classes = materialise(whole.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch")).drop("s1", "s2"), "classes", made)
+    frequent = materialise(_tokens(classes).groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > RARE), "frequent", made)
     # a frequent token takes a bit; rare ones that share it only change sides
     bits = bits_for(frequent.count(), 16)
     two = bitmap(_mixed(frequent, "token", bits), F.col("bucket"), bits)
     three = bitmap(_mixed(frequent.filter(F.col("df") > FREQUENT), "token", bits), F.col("bucket"), bits)
 
     signed = _signed(classes, percent, two, three, bits)
-    shared = materialise(signed.groupBy("sig", "many").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b"), "shared")
+    shared = materialise(signed.groupBy("sig", "many").agg(F.count("*").alias("k"), F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b"), "shared", made)
     more = shared.filter("k > 2").select("sig", "many", "a")
     again = _signed(classes, percent, two, three, bits, only=bitmap(_mixed(more, "sig", bits), F.col("bucket"), bits))
-    several = materialise(again.join(more, ["sig", "many"]), "several")
+    several = materialise(again.join(more, ["sig", "many"]), "several", made)
     # a rare token stands in few sets: their pairs are taken one by one
     few = several.filter("not many")
     x, y = few.select("sig", F.col("id").alias("x"), F.col("n").alias("nx")), few.select("sig", F.col("id").alias("y"), F.col("n").alias("ny"))
     fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
     pairs = x.join(y, "sig").filter((F.col("x") < F.col("y")) & fits).select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = shared.filter("k = 2 and not many").select("a", "b").unionByName(pairs).distinct()
-    links = materialise(_verified(_pruned(pairs, classes, percent), rows, n, percent), "links")
+    links = materialise(_verified(_pruned(pairs, classes, percent), rows, n, percent, made), "links", lasting)
     # combinations tie together groups of any size: these are compared in blocks, not pair by pair
     ties = shared.filter("many").select("a", "b").unionByName(several.filter("many and a < id").select("a", F.col("id").alias("b"))).distinct()
-    groups = components(ties).withColumnRenamed("component", "comp").join(classes.select("id", "n"), "id").dropDuplicates(["id"])
-    dense = materialise(_compared(groups, rows, n, percent), "links")
+    groups = components(ties, made=made).withColumnRenamed("component", "comp").join(classes.select("id", "n"), "id").dropDuplicates(["id"])
+    dense = materialise(_compared(groups, rows, n, percent, made), "links", lasting)
 
-    found = components(links.unionByName(dense)).withColumnRenamed("id", "rep")
+    discard(*made)
+    found = components(links.unionByName(dense), made=lasting).withColumnRenamed("id", "rep")
     labels = reps.join(found, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    discard(classes, frequent, shared, several)
-    out = small.join(labels, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    # empty sets, which all are equal, have no part in the join
+    out = small.filter("n > 0").join(labels, ["s1", "s2", "n"], "left").unionByName(small.filter("n = 0").withColumn("component", F.lit(None).cast("long")))
+    out = materialise(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")), "groups")
+    discard(*lasting)
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_share, materialise
+from .common import discard, held_out, in_share, materialise
 
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTE = re.compile("[\"“”«»„‟]")
@@ -239,8 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, most_terms: int
     found = good.orderBy(F.desc("t"), F.length("f").desc(), "f").limit(3000).collect()
     # of equal counts the word goes before its stems, and a longer stem before a shorter
     found.sort(key=lambda r: (-r["t"], r["c"], r["f"].endswith("*"), -len(r["f"]), r["f"]))
-    terms = _cover(rows, [r["f"] for r in found], most_terms, totals[1])
-    return _weigh(rows, terms)
+    model = _weigh(rows, _cover(rows, [r["f"] for r in found], most_terms, totals[1]))
+    discard(rows, bags)
+    return model
 
 
 def _hits(rows: DataFrame, terms: list[str], allowed: list[int]) -> list[tuple[int, int, list[tuple]]]:

@@ -96,11 +96,48 @@ def test_contaminated_against_brute_force(spark, tables):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
     assert got.keys() == want.keys() and len(want) == 6
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block=5).collect()}
+    blocks = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block_words=150).collect()}
     assert blocks == want.keys()
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == [] == decontaminate.contaminated(docs.limit(0), bench).collect()
 
 
+def test_rows_without_an_id_are_judged_too(spark, tables):
+    folder, rows, items = tables
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    own = [(None, items[0][1], 1), (None, rows[3][1], 2), (1, items[1][1], 3), (1, rows[4][1], 4), (2, None, 5), (3, "", 6), (4, "x " * 200000 + items[2][1], 7)]
+    docs = spark.createDataFrame(own, "doc_id long, text string, item_id int")
+    for block_words in (10**6, 100):
+        assert sorted(r["item_id"] for r in decontaminate.uncontaminated(docs, bench, block_words=block_words).collect()) == [2, 4, 5, 6]
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, block_words=block_words).collect()} == {(None, 0), (1, 1), (4, 2)}
+    assert decontaminate.uncontaminated(docs, bench.limit(0)).count() == 7 and decontaminate.uncontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_parts_of_a_passage_that_many_hold(spark, tables):
+    """Half of a passage in hundreds of copies, whichever half, is found."""
+    words = tables[2][3][1].split()
+    texts = [" ".join(words)] * 300 + [" ".join(words[20:]), " ".join(words[:20]), " ".join(words[10:30]), "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == set(range(303))
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_null_and_repeated_ids_through_the_pipeline(spark, tables, tmp_path):
+    folder, rows, items = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = spark.createDataFrame([(None, items[0][1], "en", "s", 1), (None, rows[1][1] + " and more of it", "en", "s", 1), (None, None, None, None, None)], docs.schema)
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).filter("doc_id is null").collect()
+    assert len(out) == 1 and out[0]["piece"] == 0
+
+
 def test_language_of_held_out_texts(spark, tables):
     folder, rows, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
