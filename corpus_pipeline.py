@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsquery.llm import common, language_id, pii
 from newsquery.llm.common import table
-from newsquery.llm.decontaminate import contaminated
+from newsquery.llm.decontaminate import uncontaminated
 from newsquery.llm.jaccard_join import jaccard_components
 from newsquery.llm.packing import pack_documents
 from newsquery.llm.queries import PII_KEY
@@ -31,7 +31,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Of rows that repeat a doc_id one stays. Rows without a doc_id can't be told apart by it and stay.
     """
-    groups = common.materialise(jaccard_components(docs, n=5, percent=80), "groups")
+    groups = jaccard_components(docs, n=5, percent=80)
     kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     repeated = groups.filter("doc_id is not null and doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if repeated.isEmpty():
@@ -40,9 +40,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy, exact or edited, of a benchmark item."""
-    found = common.materialise(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents that hold a copy, exact or edited, of a benchmark item; each row by its own text, whatever its id."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,29 +55,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-_made: list[DataFrame] = []
-
-
-def _tidy(stage: Stage) -> Stage:
-    """The stage, which first deletes the intermediates of the stage before: the result built on them has been written."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.discard(*(df for df in _made if df is not docs))
-        before = common.written()
-        out = stage(spark, docs, sf_dir)
-        _made[:] = [df for df in common.written() if not any(df is x for x in before)]
-        return out
-
-    run_stage.__doc__ = stage.__doc__
-    return run_stage
-
-
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", _tidy(identify_language)),
-    ("jaccard_join", _tidy(remove_near_duplicates)),
-    ("decontamination", _tidy(decontaminate)),
-    ("pii_pseudonyms", _tidy(pseudonymise)),
-    ("best_fit_packing", _tidy(pack)),
+    ("language_id", identify_language),
+    ("jaccard_join", remove_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii_pseudonyms", pseudonymise),
+    ("best_fit_packing", pack),
 ]
 
 #: No stage but the last few could be said in SQL; tests hold the stages against brute force.
@@ -86,7 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's result."""
+    """All stages over the documents of ``sf_dir``; the last one's result. What a stage wrote goes when the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         before, docs = docs, common.materialise(stage(spark, docs, sf_dir), name)
