@@ -61,7 +61,46 @@ def iso(text):
     return (date(1800, 1, 1) + timedelta(a * 365 + b)).isoformat()
 
 
-CASES = [("4111 1111 1111 1111", "card", card), ("4111111111111111", "card", card), ("378282246310005", "card", card), ("+1 (988) 555-2485", "phone", phone), ("988-555-2485", "phone", phone), ("70.123.182.155", "ip", ip), ("2024-02-29", "date", iso), ("1800-01-01", "date", iso), ("123-45-6789", "ssn", lambda t: in_format(t, digits("123456789", "ssn")))]
+CASES = [("4111 1111 1111 1111", "card", card), ("4111111111111111", "card", card), ("378282246310005", "card", card), ("+1 (988) 555-2485", "phone", phone), ("988-555-2485", "phone", phone), ("70.123.182.155", "ip", ip), ("2024-02-29", "date", iso), ("1800-01-01", "date", iso)]
+
+
+def ssn(text):
+    d = "".join(re.findall(r"\d", text))
+    while True:
+        d = digits(d, "ssn")
+        if not re.search(r"^(?:000|666|9)|^...00|0000$", d):
+            return in_format(text, d)
+
+
+def american(text):
+    """Walks the permutation of days until one reads with the month first only."""
+    day = (date(int(text[6:]), int(text[:2]), int(text[3:5])) - date(1800, 1, 1)).days
+    while True:
+        a, b = feistel(day // 365, day % 365, 400, 365, "date")
+        day = a * 365 + b
+        d = date(1800, 1, 1) + timedelta(day)
+        if d.day > 12:
+            return d.strftime(f"%m{text[2]}%d{text[2]}") + f"{d.year:04}"
+
+
+def far(text):
+    n = (date(int(text[6:]), int(text[3:5]), int(text[:2])) - date(1, 1, 1)).days
+    while True:
+        a, b = feistel(n // 1911, n % 1911, 1912, 1911, "far date")
+        n = a * 1911 + b
+        if n < 3652059:
+            d = date(1, 1, 1) + timedelta(n)
+            if not 0 <= (d - date(1800, 1, 1)).days < 146000:
+                return f"{d.day:02}.{d.month:02}.{d.year:04}"
+
+
+def national(code):
+    return lambda text: in_format(text, code + digits("".join(re.findall(r"\d", text))[len(code) :], "phone"))
+
+
+CASES += [(v, "ssn", ssn) for v in ("078-05-1120", "219-09-9999", "001-01-0001", "899-99-9999")]
+CASES += [("12/31/1999", "date", american), ("02.28.2020", "date", american), ("31.12.1799", "date", far), ("01.01.2500", "date", far)]
+CASES += [("+49 30 1234567", "phone", national("49")), ("+33 1 42 68 53 00", "phone", national("33")), ("+44 20 7946 0958", "phone", national("44")), ("+354 512 3456", "phone", national("354")), ("+1 212 555 0187", "phone", national("1"))]
 
 
 @pytest.mark.parametrize("value,kind,plain", CASES)
@@ -123,3 +162,31 @@ def test_no_python_in_the_plan_and_columns_kept(spark):
     plan = pii.pseudonymise(df, KEY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert pii.pseudonymise(df.limit(0), KEY).collect() == []
+
+
+@pytest.mark.parametrize(("text", "value"), [("card 4111 1111 1111 1111 12/25 ok", "4111 1111 1111 1111"), ("pay 4111 1111 1111 1111 123 now", "4111 1111 1111 1111"), ("BE68 5390 0754 7034 BIC GKCC", "BE68 5390 0754 7034"), ("4111-1111-1111-1111-987", "4111-1111-1111-1111"), ("DE89 3704 0044 0532 0130 00 USD", "DE89 3704 0044 0532 0130 00"), ("+44 20 7946 0958 2024", "+44 20 7946 0958")])
+def test_what_follows_a_value_stays(spark, text, value):
+    df = spark.createDataFrame([(text,), (value,)], "text string")
+    whole, alone = (r["text"] for r in pii.pseudonymise(df, KEY).collect())
+    assert whole == text.replace(value, alone) and alone != value and len(alone) == len(value)
+
+
+def test_invalid_values_stay_and_pseudonyms_are_valid(spark):
+    rng = random.Random(8)
+    ssns = [f"{rng.randint(1, 899):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for _ in range(3000)]
+    ssns = [x for x in ssns if not x.startswith("666")]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in ssns], "text string"), KEY).collect()]
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in got)
+    assert len(set(got)) == len(set(ssns))
+    days = [f"{d.month:02}/{d.day:02}/{d.year}" for k in range(0, 140000, 97) if (d := date(1800, 1, 1) + timedelta(k)).day > 12]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in days], "text string"), KEY).collect()]
+    assert len(set(got)) == len(set(days)) and all(int(x[3:5]) > 12 and int(x[:2]) <= 12 for x in got)
+    bad = ["666-12-3456", "31.02.2000", "13/32/1999", "00.00.0000", "+12 3", "4111 1111 1111 1112 12/25"]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in bad], "text string"), KEY).collect()]
+    assert got == bad
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("31.12.1999", 1, 2, 3)], "text string, __pieces0 int, __done0 int, __pieces int")
+    out = pii.pseudonymise(df, KEY)
+    assert out.columns == [*df.columns, "found"] and tuple(out.first())[1:4] == (1, 2, 3)
