@@ -29,14 +29,84 @@ _log = logging.getLogger(__name__)
 #: Where a text may be cut before it is encoded: in front of a single space between characters that are white space in
 #: no Unicode version. The byte-level pattern takes such a space with what follows it, and no match goes across it.
 _CUT = re.compile(r"(?<=[!-~¡-ԧ])(?= [!-~¡-ԧ])")
-_BEGIN = re.compile(r" [!-~¡-ԧ]")
+#: Arrow patterns: a part as it begins behind a cut, and a text with a space that is no such place or with the mark
+#: that stands for a cut meanwhile.
+_BEGIN, _ODD, _MARK = r"^ [!-~¡-ԧ]", r"[^!-~¡-ԧ] | [^!-~¡-ԧ]|^ | $|\x1f", "\x1f"
 #: Longer parts are encoded but not remembered, and so many are remembered by a task: bounds of memory only.
-MOST_CHARS, MOST_PARTS = 64, 1 << 17
+MOST_BYTES, MOST_PARTS = 64, 1 << 17
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The rows of ``flat`` that begin at ``starts``, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    number = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat((starts - (ends - sizes)).astype(number), sizes)
+    place += np.arange(total, dtype=number)
+    return flat[place]
+
+
+class _Parts:
+    """The ids of the parts of texts that have been frequent of late; others are encoded."""
+
+    def __init__(self, model, vocabulary: dict[str, int]):
+        self.model = model
+        # a byte-level vocabulary writes each byte as one character
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.keys, self.flat = pa.array([], pa.large_string()), np.empty(0, "<u4")
+        self.sizes, self.scores = np.empty(0, np.int64), np.empty(0)
+
+    def _encoded(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each part begin, how many they are)."""
+        sizes, starts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        # parts that begin like those behind a cut are encoded in one row, as no match goes across their ends
+        behind = pc.match_substring_regex(new, _BEGIN)
+        row, at = new.filter(behind), np.flatnonzero(behind.to_numpy(zero_copy_only=False))
+        ids = np.empty(0, "<u4")
+        if len(row):
+            lengths = pc.binary_length(row).to_numpy()
+            text = "".join(row.to_pylist())
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(lengths)) + 1
+            sizes[at] = np.diff(ends, prepend=0)
+            starts[at] = ends - sizes[at]
+        out, total = [ids], len(ids)
+        alone = np.flatnonzero(~behind.to_numpy(zero_copy_only=False))
+        for i, x in zip(alone.tolist(), self.model.encode_batch_fast(new.take(pa.array(alone)).to_pylist(), add_special_tokens=False) if len(alone) else ()):
+            out.append(np.array(x.ids, "<u4"))
+            starts[i], sizes[i] = total, len(out[-1])
+            total += len(out[-1])
+        return np.concatenate(out), starts, sizes
+
+    def ids_of(self, parts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each part begin, how many they are) of distinct parts, which stand in the texts so often."""
+        found = pc.fill_null(pc.index_in(parts, value_set=self.keys), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(found < 0)
+        fresh = parts.take(pa.array(new))
+        ids, starts, sizes = self._encoded(fresh)
+        known = np.cumsum(self.sizes) - self.sizes
+        flat = np.concatenate([self.flat, ids])
+        all_starts, all_sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        hit = found >= 0
+        all_starts[hit], all_sizes[hit] = known[found[hit]], self.sizes[found[hit]]
+        all_starts[new], all_sizes[new] = len(self.flat) + starts, sizes
+        self.scores *= 0.9
+        self.scores[found[hit]] += counts[hit]
+        keep = np.flatnonzero(pc.binary_length(fresh).to_numpy() <= MOST_BYTES)
+        self._remember(pa.concat_arrays([self.keys, fresh.take(pa.array(keep))]), flat, np.append(known, len(self.flat) + starts[keep]), np.append(self.sizes, sizes[keep]), np.append(self.scores, counts[new][keep]))
+        return flat, all_starts, all_sizes
+
+    def _remember(self, keys: pa.Array, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, scores: np.ndarray) -> None:
+        if len(keys) > MOST_PARTS:
+            best = np.sort(np.argpartition(-scores, MOST_PARTS)[:MOST_PARTS])
+            keys, starts, sizes, scores = keys.take(pa.array(best)), starts[best], sizes[best], scores[best]
+        self.keys, self.flat, self.sizes, self.scores = keys, _gathered(flat, starts, sizes), sizes, scores
 
 
 @lru_cache(maxsize=2)
 def id_encoder(name: str):
-    """A function from texts to arrays of ids, as the tokenizers library gives them for the file ``name``.
+    """A function from an Arrow array of texts to arrays of ids, as the tokenizers library gives them for the file ``name``.
 
     If the file splits texts by the byte-level pattern before it merges, texts are cut at the spaces where that
     pattern ends a match (``_CUT``), and the library encodes the distinct parts that a task does not remember. Texts
@@ -49,8 +119,8 @@ def id_encoder(name: str):
     model.no_truncation()
     model.no_padding()
 
-    def whole(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in model.encode_batch(texts, add_special_tokens=False)]
+    def whole(texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in model.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
 
     with open(tokenizer_path(name), encoding="utf-8") as f:
         spec = json.load(f)
@@ -58,45 +128,28 @@ def id_encoder(name: str):
     added = [x["content"] for x in spec.get("added_tokens", [])]
     if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") is not None or spec.get("post_processor") is not None:
         return whole
-    # a byte-level vocabulary writes each byte as one character
-    n_bytes = np.zeros(max(spec["model"]["vocab"].values(), default=0) + 1, np.int64)
-    n_bytes[list(spec["model"]["vocab"].values())] = [len(t) for t in spec["model"]["vocab"]]
-    recent: dict[str, bytes] = {}  # parts and their ids, little-endian
-    before: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        nonlocal recent, before
+    memory = _Parts(model, spec["model"]["vocab"])
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        special = np.zeros(len(texts), bool)
+        for s in added:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) & ~special
+        at = [np.flatnonzero(x) for x in (~odd & ~special, odd, special)]
+        plain = pc.split_pattern(pc.replace_substring(texts.take(pa.array(at[0])), " ", _MARK + " "), _MARK)
+        cut = [_CUT.split(t) for t in texts.take(pa.array(at[1])).to_pylist()]
+        parts = pa.concat_arrays([plain.flatten(), pa.array(list(chain.from_iterable(cut)), pa.large_string())]).dictionary_encode()
+        own = parts.indices.to_numpy()
+        flat, starts, sizes = memory.ids_of(parts.dictionary, np.bincount(own, minlength=len(parts.dictionary)))
+        ids, ends = _gathered(flat, starts[own], sizes[own]), np.cumsum(sizes[own])
+        many = np.concatenate([plain.value_lengths().to_numpy(zero_copy_only=False), np.array([len(c) for c in cut], np.int64)]).astype(np.int64)
+        stops = ends[np.cumsum(many) - 1].tolist() if len(many) else []
         out: list = [None] * len(texts)
-        rest = [i for i, t in enumerate(texts) if any(s in t for s in added)]
-        for i, ids in zip(rest, whole([texts[i] for i in rest]) if rest else ()):
-            out[i] = ids
-        cut = {i: _CUT.split(t) for i, t in enumerate(texts) if out[i] is None}
-        new = []
-        for p in set(chain.from_iterable(cut.values())):
-            if p not in recent:
-                if p in before:
-                    recent[p] = before[p]
-                else:
-                    new.append(p)
-        # parts that begin like those behind a cut are encoded in one row, as no match goes across their ends
-        row, alone = [], []
-        for p in new:
-            (row if _BEGIN.match(p) else alone).append(p)
-        ids = np.array(model.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids, "<u4") if row else np.empty(0, "<u4")
-        ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(p.encode()) for p in row])) + 1
-        ids, at = ids.tobytes(), 0
-        for p, end in zip(row, (4 * ends).tolist()):
-            recent[p] = ids[at:end]
-            at = end
-        for p, x in zip(alone, model.encode_batch_fast(alone, add_special_tokens=False) if alone else ()):
-            recent[p] = np.array(x.ids, "<u4").tobytes()
-        for i, parts in cut.items():
-            out[i] = np.frombuffer(b"".join(map(recent.__getitem__, parts)), "<u4")
-        for p in new:
-            if len(p) > MOST_CHARS:
-                del recent[p]
-        if len(recent) > MOST_PARTS:
-            recent, before = {}, recent
+        for i, lo, hi in zip(np.concatenate(at[:2]).tolist(), [0, *stops], stops):
+            out[i] = ids[lo:hi]
+        for i, x in zip(at[2].tolist(), whole(texts.take(pa.array(at[2]))) if len(at[2]) else ()):
+            out[i] = x
         return out
 
     return encode
@@ -117,14 +170,15 @@ def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int =
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = id_encoder(vocabulary)
+        encode, end = id_encoder(vocabulary), np.array([end_id], "<u4")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
             out: list[tuple] = []
             for a, b in slices(pc.binary_length(texts).to_pylist(), batch_bytes):
-                for doc, tokens in zip(ids[a:b], encode(texts[a:b].to_pylist())):
-                    tokens = np.append(tokens, np.array([end_id], "<u4")).astype("<u4", copy=False)
-                    out += [(doc, k, s, n, zlib.crc32(tokens[s : s + n].tobytes())) for k, (s, n) in enumerate(piece_bounds(len(tokens), capacity))]
+                for doc, tokens in zip(ids[a:b], encode(texts[a:b])):
+                    bounds = piece_bounds(len(tokens) + 1, capacity)
+                    out += [(doc, k, s, n, zlib.crc32(tokens[s : s + n])) for k, (s, n) in enumerate(bounds)]
+                    out[-1] = (*out[-1][:4], zlib.crc32(end, out[-1][4]))
             columns = list(zip(*out)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])

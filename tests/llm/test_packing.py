@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsquery.llm.common import tokenizer_path
@@ -96,18 +97,18 @@ def test_piece_bounds(n, want):
     assert piece_bounds(n, 10) == want
 
 
-@pytest.mark.parametrize("most_parts", [1, 1 << 17])
+@pytest.mark.parametrize("most_parts", [1, 100, 1 << 17])
 def test_ids_equal_the_library(monkeypatch, most_parts):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "MOST_PARTS", most_parts)
     model = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     rng = random.Random(7)
-    texts = ["", " ", "\n\n a  b ", "<|endoftext|> x<|endoftext|>", "it's we'll 'tis", "東京 is ２０", "a b c\x85d\x1c", "ñandú Привет 123abc", "x" * 3000, "🙂🙂 ok", "a \n", "  b", "x\n", "  y z"]
+    texts = ["", " ", "\n\n a  b ", "<|endoftext|> x<|endoftext|>", "it's we'll 'tis", "東京 is ２０", "a b c\x85d\x1c", "ñandú Привет 123abc", "x" * 3000, "🙂🙂 ok", "a \n", "  b", "x\n", "  y z", "a b\x1fc d", "trailing ", " leading", "two  spaces here", "plain words only here"]
     texts += ["".join(rng.choice(["the", " ", "  ", "\n", "é", "12", "'s", "...", "Ж", "\t", " a", "\xa0", "字"]) for _ in range(rng.randint(1, 400))) for _ in range(300)]
     encode = id_encoder.__wrapped__("byte_bpe_50k.json")
     for at in range(0, len(texts), 50):
-        for text, ids in zip(texts[at : at + 50], encode(texts[at : at + 50])):
+        for text, ids in zip(texts[at : at + 50], encode(pa.array(texts[at : at + 50]))):
             assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, text
 
 
@@ -116,7 +117,7 @@ def test_very_long_runs(char):
     from tokenizers import Tokenizer
 
     text = "word" + char * 3_000_000 + "word end"
-    ids = id_encoder("byte_bpe_50k.json")([text])[0]
+    ids = id_encoder("byte_bpe_50k.json")(pa.array([text]))[0]
     assert ids.tolist() == Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
@@ -125,7 +126,7 @@ def test_other_vocabularies_go_to_the_library():
 
     texts = ["Some words, HERE and  there", "", "<|endoftext|> x"]
     model = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    assert [x.tolist() for x in id_encoder("word_bpe_49k.json")(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in id_encoder("word_bpe_49k.json")(pa.array(texts))] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pack_round_trip(spark):
