@@ -2,74 +2,63 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, title_words
+from ..intermediate import delete, written
 
 COL = F.col
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of an iteration: written to the shared checkpoint folder, or a folder of our own without one."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="newsquery-stories-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        shared = f"file://{_own[0]}"
-    path = f"{shared}/stories-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_own: list[str] = []
-
-
-def story_links(articles: DataFrame, common: float = 0.01, gap_hours: int = 72) -> DataFrame:
+def story_links(articles: DataFrame, gap_hours: int = 72) -> DataFrame:
     """(a, b): each article with the first of its run among those that share a word pair.
 
-    A run goes on while the next article is near in time. One of n articles gives n - 1 links and not n squared, and
-    chains of links stay short. Word pairs in more than a share ``common`` of the titles (and in more than 50) join unrelated stories and are left out.
+    A run goes on while the next article is no more than ``gap_hours`` away. One of n articles gives n - 1 links and
+    not n squared, and chains of links stay short. Articles of one word pair are put into slots as wide as the gap:
+    those of a slot are one run, so only slots are ordered, of which time bounds the number, and a word pair of a
+    third of all titles is no task of its own. Articles without a time or a title have no links.
     """
     pairs = articles.select("article_id", "event_ts", F.explode(F.array_distinct(bigrams(title_words(COL("title"))))).alias("bigram"))
-    total = articles.agg(F.count("*").alias("total"))
-    telling = pairs.groupBy("bigram").agg(F.count("*").alias("df")).filter("df > 1").crossJoin(F.broadcast(total)).filter(COL("df") <= F.greatest(F.lit(50.0), COL("total") * common)).select("bigram")
-    w = Window.partitionBy("bigram").orderBy("event_ts", "article_id")
     seconds = F.unix_timestamp(COL("event_ts").cast("timestamp"))
-    cut = F.when(seconds - F.lag(seconds).over(w) > gap_hours * 3600, 1).otherwise(0)
-    runs = pairs.join(telling, "bigram").withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
-    hub = F.first("article_id").over(Window.partitionBy("bigram", "run").orderBy("event_ts", "article_id"))
-    return runs.select(COL("article_id").alias("a"), hub.alias("b")).filter("a <> b").distinct()
+    pairs = pairs.withColumn("slot", F.floor(seconds / (gap_hours * 3600))).filter("slot is not null and bigram <> ''")
+    slots = pairs.groupBy("bigram", "slot").agg(F.min(F.struct("event_ts", "article_id")).alias("head"), F.min(seconds).alias("begin"), F.max(seconds).alias("end"))
+    w = Window.partitionBy("bigram").orderBy("slot")
+    cut = F.when(COL("begin") - F.lag("end").over(w) > gap_hours * 3600, 1).otherwise(0)
+    runs = slots.withColumn("cut", cut).withColumn("run", F.sum("cut").over(w))
+    hub = F.first("head.article_id").over(Window.partitionBy("bigram", "run").orderBy("slot"))
+    hubs = runs.select("bigram", "slot", hub.alias("b"))
+    return pairs.join(hubs, ["bigram", "slot"]).select(COL("article_id").alias("a"), "b").filter("a <> b").distinct()
 
 
-def stories(articles: DataFrame, links: DataFrame | None = None, most_rounds: int = 30) -> DataFrame:
+def stories(articles: DataFrame, links: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """(article_id, story): the smallest article id that links lead to.
 
     Labels spread over links and then jump to the label's own label, so rounds grow with the logarithm of a chain's
-    length. Only articles that have a link take part in the rounds; what is left of the others is their own story.
+    length; RuntimeError after ``most_rounds`` instead of an unfinished answer. Only articles that have a link take
+    part in the rounds; what is left of the others is their own story. Each round's files go when the next one's are there.
     """
+    spark = articles.sparkSession
     links = story_links(articles) if links is None else links
-    both = _written(links.unionByName(links.select(COL("b").alias("a"), COL("a").alias("b"))))
-    label = _written(both.groupBy(COL("a").alias("article_id")).agg(F.min("b").alias("near")).select("article_id", F.least("article_id", "near").alias("story")))
+    paths: list[str] = []
+    both = written(links.unionByName(links.select(COL("b").alias("a"), COL("a").alias("b"))), "links", paths)
+    labels: list[str] = []
+    label = written(both.groupBy(COL("a").alias("article_id")).agg(F.min("b").alias("near")).select("article_id", F.least("article_id", "near").alias("story")), "stories", labels)
     for _ in range(most_rounds):
         near = both.join(label, COL("b") == COL("article_id")).groupBy(COL("a").alias("article_id")).agg(F.min("story").alias("near"))
         low = label.join(near, "article_id").select("article_id", F.least("story", "near").alias("story"), COL("story").alias("old"))
         # two jumps a round
         one = label.select(COL("article_id").alias("story"), COL("story").alias("root"))
         far = low.join(one, "story", "left").select("article_id", F.least("story", "root").alias("story"), "old")
-        after = _written(far.join(one, "story", "left").select("article_id", F.least("story", "root").alias("story"), "old"))
+        before, labels = labels, []
+        after = written(far.join(one, "story", "left").select("article_id", F.least("story", "root").alias("story"), "old"), "stories", labels)
+        delete(spark, before)
         moved = after.filter("story <> old").limit(1).count()
         label = after.drop("old")
         if not moved:
-            break
-    return articles.select("article_id").join(label, "article_id", "left").select("article_id", F.coalesce("story", "article_id").alias("story"))
+            delete(spark, paths)
+            return articles.select("article_id").join(label, "article_id", "left").select("article_id", F.coalesce("story", "article_id").alias("story"))
+    raise RuntimeError(f"stories are not united after {most_rounds} rounds")
 
 
 def developing(articles: DataFrame, membership: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date
 from ..articles import normalize_articles, text_of
 from ..functions import cleaning, dates, rules
 from ..functions.exprs import literal, search_pattern
+from ..intermediate import new_folder
 from ..operators import aggregates, dedup, enrich, filters, html, joins, search
 from ..plans import reports
 from ..sources import feeds, sinks
@@ -107,13 +108,25 @@ def sc11_migration_scan(spark, d):
 
 @query("sc12_json_array", "SELECT item_id, length(text) AS n FROM benchmark")
 def sc12_json_array(spark, d):
-    folder = _folder(spark)
-    one = table(spark, d, "benchmark").select(COL("item_id").cast("string").alias("article_id"), COL("text").alias("content"))
-    # one file with an array of objects, as a fixture is; the benchmark is small by nature
-    one.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(folder)
+    folder = new_folder(spark, "json")
+    objects = table(spark, d, "benchmark").select(F.to_json(F.struct(COL("item_id").cast("string").alias("article_id"), COL("text").alias("content"))).alias("value"))
+    # files with an array of objects each, as fixtures are: one for every partition, written as it is read
+    objects.mapInArrow(_as_arrays, "value string").write.text(folder)
     return feeds.json_articles(spark, folder, multiline=True).select(COL("article_id").cast("long").alias("item_id"), F.length("content").cast("long").alias("n"))
 
 
+def _as_arrays(batches):
+    """The objects of a partition between brackets and with commas; a partition without any is an empty array."""
+    import pyarrow as pa
+
+    begin = "["
+    for batch in batches:
+        rows = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([(begin if i == 0 else ",") + row for i, row in enumerate(rows)], pa.string())], ["value"])
+        begin = "," if rows else begin
+    yield pa.RecordBatch.from_arrays([pa.array([("[" if begin == "[" else "") + "]"])], ["value"])
+
+
 @query("sc13_downloaded_pages", "SELECT count(*) AS pages, count(*) FILTER (html IS NOT NULL AND trim(html) <> '') AS with_html FROM pages")
 def sc13_downloaded_pages(spark, d):
     return table(spark, d, "pages").agg(F.count("*").alias("pages"), F.count_if(filters.not_empty(COL("html"))).alias("with_html"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from ..intermediate import new_folder
 from ..streaming import pipeline as st
 from . import query
 from .base import COL, F, as_of, event_articles, stamp, table
@@ -11,16 +10,7 @@ from .base import COL, F, as_of, event_articles, stamp, table
 
 def _folder(spark) -> str:
     """A shared folder for checkpoints and results."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        import atexit
-        import shutil
-        import tempfile
-
-        local = tempfile.mkdtemp(prefix="newsquery-stream-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        shared = f"file://{local}"
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _events(spark, d):
