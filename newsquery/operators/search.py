@@ -93,6 +93,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def near_pairs(df: DataFrame, vector: Column, queries: DataFrame, query_id: str, query_vector: Column, least: float, block: int = 4096) -> DataFrame:
+    """The rows of ``df`` beside each query whose cosine is over ``least``: all queries against all rows, in blocks.
+
+    Queries are dealt by a hash of their id into blocks of about ``block``, and one block at a time is sent to the
+    tasks, so what a task holds doesn't grow with the number of queries.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    own = [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [df.crossJoin(F.broadcast(q)).filter(cosine(vector, query_vector) > least) for q in own])
+
+
 def knn(df: DataFrame, key: str, vector: str, query: list[float], k: int = 10, dimension: int | None = None) -> DataFrame:
     """(key, score): the k rows of largest cosine, exactly; ValueError for a query of the wrong length.
 

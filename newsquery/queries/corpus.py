@@ -119,15 +119,15 @@ def fl20_paywalled(spark, d):
     return document_articles(spark, d).select("article_id", rules.paywalled(COL("content")).alias("paywalled"))
 
 
-@query("fl23_valid_phrases", f"{W}, w AS (SELECT article_id, unnest(list_slice(string_split(content, ' '), 1, 20)) AS w FROM doc) SELECT article_id, count(*) AS n FROM w WHERE length(w) >= 2 AND lower(w) NOT IN ({', '.join(repr(x) for x in text.GENERIC_WORDS)}) GROUP BY 1")
+@query("fl23_valid_phrases", f"{W}, w AS (SELECT article_id, unnest(string_split(content, ' ')) AS w FROM doc) SELECT article_id, count(*) AS n FROM w WHERE length(w) >= 2 AND lower(w) NOT IN ({', '.join(repr(x) for x in text.GENERIC_WORDS)}) GROUP BY 1")
 def fl23_valid_phrases(spark, d):
-    words = document_articles(spark, d).select("article_id", F.explode(F.slice(F.split("content", " "), 1, 20)).alias("w"))
+    words = document_articles(spark, d).select("article_id", F.explode(F.split("content", " ")).alias("w"))
     return words.filter(text.valid_phrase(COL("w"))).groupBy("article_id").agg(F.count("*").alias("n"))
 
 
-@query("fl24_valid_entities", f"{W}, w AS (SELECT article_id, unnest(list_slice(string_split(content, ' '), 1, 30)) AS w FROM doc) SELECT article_id, count(*) AS n FROM w WHERE length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$') AND lower(w) NOT IN ({', '.join(repr(x) for x in text.GENERIC_WORDS)}) GROUP BY 1")
+@query("fl24_valid_entities", f"{W}, w AS (SELECT article_id, unnest(string_split(content, ' ')) AS w FROM doc) SELECT article_id, count(*) AS n FROM w WHERE length(w) >= 2 AND NOT regexp_matches(w, '^[0-9]+$') AND lower(w) NOT IN ({', '.join(repr(x) for x in text.GENERIC_WORDS)}) GROUP BY 1")
 def fl24_valid_entities(spark, d):
-    words = document_articles(spark, d).select("article_id", F.explode(F.slice(F.split("content", " "), 1, 30)).alias("w"))
+    words = document_articles(spark, d).select("article_id", F.explode(F.split("content", " ")).alias("w"))
     return words.filter(text.valid_entity(COL("w"))).groupBy("article_id").agg(F.count("*").alias("n"))
 
 
@@ -290,15 +290,15 @@ def en06_best_label(spark, d):
     return document_articles(spark, d).select("article_id", best.alias("b")).select("article_id", "b.label", "b.score")
 
 
-@query("en11_keyword_merge", f"{W}, k AS (SELECT source AS item, unnest(list_slice(string_split(title, ' '), 1, 5)) AS w, (n_chars % 100) / 100.0 AS score FROM doc), m AS (SELECT item, lower(w) AS text, max(score) AS score FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, text) AS rn FROM m) SELECT item, text, score FROM r WHERE rn <= 20")
+@query("en11_keyword_merge", f"{W}, k AS (SELECT source AS item, unnest(string_split(title, ' ')) AS w, (n_chars % 100) / 100.0 AS score FROM doc), m AS (SELECT item, lower(w) AS text, max(score) AS score FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, text) AS rn FROM m) SELECT item, text, score FROM r WHERE rn <= 20")
 def en11_keyword_merge(spark, d):
-    rows = document_articles(spark, d).select(COL("source").alias("item"), F.explode(F.slice(F.split("title", " "), 1, 5)).alias("text"), ((COL("n_chars") % 100) / 100.0).alias("score"))
+    rows = document_articles(spark, d).select(COL("source").alias("item"), F.explode(F.split("title", " ")).alias("text"), ((COL("n_chars") % 100) / 100.0).alias("score"))
     return dedup.keywords(rows, "item", "text", "score")
 
 
-@query("en12_entity_dedup", f"{W}, k AS (SELECT source AS item, unnest(list_slice(string_split(title, ' '), 1, 5)) AS entity, upper(lang) AS label, (n_chars % 100) / 100.0 AS confidence FROM doc), r AS (SELECT *, row_number() OVER (PARTITION BY item, lower(entity), lower(label) ORDER BY confidence DESC, entity DESC, label DESC) AS rn FROM k) SELECT item, entity, label, confidence FROM r WHERE rn = 1")
+@query("en12_entity_dedup", f"{W}, k AS (SELECT source AS item, unnest(string_split(title, ' ')) AS entity, upper(lang) AS label, (n_chars % 100) / 100.0 AS confidence FROM doc), r AS (SELECT *, row_number() OVER (PARTITION BY item, lower(entity), lower(label) ORDER BY confidence DESC, entity DESC, label DESC) AS rn FROM k) SELECT item, entity, label, confidence FROM r WHERE rn = 1")
 def en12_entity_dedup(spark, d):
-    rows = document_articles(spark, d).select(COL("source").alias("item"), F.explode(F.slice(F.split("title", " "), 1, 5)).alias("entity"), F.upper("lang").alias("label"), ((COL("n_chars") % 100) / 100.0).alias("confidence"))
+    rows = document_articles(spark, d).select(COL("source").alias("item"), F.explode(F.split("title", " ")).alias("entity"), F.upper("lang").alias("label"), ((COL("n_chars") % 100) / 100.0).alias("confidence"))
     return dedup.entities(rows, "item", "entity", "label", "confidence")
 
 
@@ -483,11 +483,11 @@ def jn11_postings(spark, d):
     return search.postings(document_articles(spark, d), "article_id", {"title": COL("title")}).select("article_id", "term", "tf")
 
 
-@query("jn12_knn_pairs", f"SELECT q.vec_id AS query_id, count(*) AS near FROM (SELECT vec_id, embedding AS v, label FROM embeddings WHERE vec_id < 3) q JOIN embeddings e ON {_COS.replace('q.v', 'q.v')} > 0.2 GROUP BY 1")
+@query("jn12_knn_pairs", f"SELECT q.vec_id AS query_id, count(*) AS near FROM (SELECT vec_id, embedding AS v, label FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings e ON {_COS.replace('q.v', 'q.v')} > 0.2 GROUP BY 1")
 def jn12_knn_pairs(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.filter("vec_id < 3").select(COL("vec_id").alias("query_id"), COL("embedding").alias("v"))
-    return e.crossJoin(F.broadcast(q)).filter(search.cosine(COL("embedding"), COL("v")) > 0.2).groupBy("query_id").agg(F.count("*").alias("near"))
+    q = e.filter("vec_id % 100 = 0").select(COL("vec_id").alias("query_id"), COL("embedding").alias("v"))
+    return search.near_pairs(e, COL("embedding"), q, "query_id", COL("v"), 0.2).groupBy("query_id").agg(F.count("*").alias("near"))
 
 
 # --- questions --------------------------------------------------------------------------------
