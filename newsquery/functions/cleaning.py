@@ -21,12 +21,16 @@ BOILERPLATE = (
     "Live Events", "Subscribe", "Subscribe Now", "Newsletter", "Login", "Log in", "Sign In", "Register", "Follow Us", "Join our WhatsApp", "WhatsApp Channel", "Telegram Channel", "Download App",
 )
 # The same for single publishers; callers add theirs.
-SOURCE_BOILERPLATE: dict[str, tuple[str, ...]] = {"Economic Times": ("Reliable and Trusted News Source", "Add Now!", "You can now subscribe", "Synopsis", "Premium Story", "Member benefits", "Already a member", "Unlock this story", "Read Full Story")}
+_ECONOMIC_TIMES = (
+    "Reliable and Trusted News Source", "Add Now!", "Economic Times WhatsApp Channel", "You can now subscribe", "Synopsis", "ET Prime", "ETPrime", "Prime Member", "Prime Membership", "Prime credentials",
+    "Premium Story", "Member benefits", "Enjoy member benefits", "Already a member", "Current logged-in account", "Logged-in account", "Unlock this story", "Unlock premium content", "Continue Reading", "Read Full Story",
+)
+SOURCE_BOILERPLATE: dict[str, tuple[str, ...]] = {"Economic Times": _ECONOMIC_TIMES, "ET": _ECONOMIC_TIMES}
 # Passages removed wherever they stand, up to the end of the line.
 PASSAGES = (
     r"https?://\S+", r"www\.\S+", r"You can now subscribe[^\n]*", r"Join our WhatsApp.*", r"Follow us on.*", r"Follow our.*", r"Subscribe to our.*", r"Download our app.*", r"Click here.*",
-    r"Share this article.*", r"Sign up for.*newsletter.*", r"Member benefits.*", r"Enjoy member benefits.*", r"Current logged-in account.*", r"Logged-in account.*", r"Already a member.*",
-    r"Unlock.*", r"Read Full Story.*", r"Continue Reading.*", r"©.*", r"All rights reserved.*",
+    r"Share this article.*", r"Sign up for.*newsletter.*", r"ETPrime.*", r"Prime credentials.*", r"Member benefits.*", r"Enjoy member benefits.*", r"Current logged-in account.*", r"Logged-in account.*",
+    r"Already a member.*", r"Unlock.*", r"Read Full Story.*", r"Continue Reading.*", r"©.*", r"All rights reserved.*",
 )
 # Headings without content of their own.
 HEADINGS = ("Synopsis", "Summary", "Highlights", "Key Highlights", "Advertisement", "Related Stories", "Related News", "Read More", "Breaking News", "Latest News", "Must Read")
@@ -49,6 +53,19 @@ def unescape_html(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: None if t is None else html.unescape(t))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield batch.map(lambda t: None if t is None else html.unescape(unicodedata.normalize("NFKC", t)))
+
+
+def decode(text: Column) -> Column:
+    """NFKC and then HTML entities, in one Arrow pass that gets only texts with a character or an entity to change."""
+    # all of Latin-1 but for a few signs, and the Latin letters without decompositions, are their own NFKC forms
+    needs = text.rlike("&|[^\\x00-\\x7F¡-§©«¬®°±¶·»¿-ıĹ-ľŁ-ňŊ-žƀ-ƿ]")
+    return F.coalesce(_decoded(F.when(needs, text)), text)
+
+
 def plain_typography(text: Column) -> Column:
     return F.translate(text, "".join(TYPOGRAPHIC) + ZERO_WIDTH, "".join(TYPOGRAPHIC.values()))
 
@@ -82,14 +99,19 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def remove_boilerplate(text_lines: Column, source: str = "") -> Column:
-    pattern = _phrase_pattern((*BOILERPLATE, *SOURCE_BOILERPLATE.get(source, ())))
-    return F.filter(text_lines, lambda x: ~line_key(x).rlike(pattern))
+    phrases = (*BOILERPLATE, *SOURCE_BOILERPLATE.get(source, ()))
+    any_of = "|".join(literal(p.lower()) for p in phrases)
+    longest = max(map(len, phrases))
+    # the same as ``_phrase_pattern``, but of a line only its begin and its end are looked at
+    drop = lambda key: key.rlike(f"^(?:{any_of})(?: |$)") | F.right(key, F.lit(longest + 1)).rlike(f" (?:{any_of})$")
+    return F.filter(text_lines, lambda x: ~bound(line_key(x), drop))
 
 
 def distinct_lines(text_lines: Column) -> Column:
-    """Of lines that differ in case and spacing only, the first."""
-    with_keys = lambda own: bound(F.transform(own, line_key), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, line_key(x)) == i + 1))
-    return bound(text_lines, with_keys)
+    """Of lines that differ in case and spacing only, the first: lines in the order of (key, place) stay behind another key."""
+    placed = F.array_sort(F.transform(text_lines, lambda x, i: F.struct(line_key(x).alias("key"), i.alias("at"), x.alias("line"))))
+    firsts = bound(placed, lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["key"] != x["key"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line")))), lambda x: x["line"])
 
 
 def remove_headings(text_lines: Column) -> Column:
@@ -140,6 +162,6 @@ def clean(text: Column, source: str = "") -> Column:
 
 
 def clean_articles(df: DataFrame, text: str, out: str = "clean_content", source: str = "") -> DataFrame:
-    """``df`` with the cleaned text: NFKC and HTML entities in Arrow batches, then all other steps."""
-    decoded = df.withColumn("__decoded", unescape_html(nfkc(F.coalesce(text, F.lit("")))))
+    """``df`` with the cleaned text: NFKC and HTML entities in an Arrow pass, then all other steps."""
+    decoded = df.withColumn("__decoded", decode(F.coalesce(text, F.lit(""))))
     return decoded.withColumn(out, clean(F.col("__decoded"), source)).drop("__decoded")

@@ -20,7 +20,7 @@ INTENTS = (
     ("DEVELOPING_STORIES", ("developing", "pending", "ongoing", "developing stories")),
     ("STORY_TIMELINE", ("timeline", "what happened next", "story evolution", "after this", "follow-up")),
     ("CROSS_SOURCE_QUERY", ("cross-source", "multiple sources", "different sources", "covered by multiple", "covering this event", "newspapers covering")),
-    ("NEWSPAPER_COMPARISON", ("compare", "versus", "vs", "difference", "four newspapers", "all newspapers")),
+    ("NEWSPAPER_COMPARISON", ("compare", "versus", "vs", "difference", "four newspapers", "all newspapers", "economic times and the hindu")),
     ("TREND_ANALYSIS", ("trending", "trend", "emerging", "popular", "increasing", "biggest news trends")),
     ("SPIKE_ANALYSIS", ("spike", "unusual", "surge", "anomaly")),
     ("SENTIMENT_ANALYSIS", ("sentiment", "feeling", "mood", "positive news", "negative news")),
