@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialise
+
 #: Candidates: 12 and more characters, with a digit or both cases among them (prose words have neither).
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-.~])[A-Za-z0-9+/_\-.~]{12,}={0,2}(?![A-Za-z0-9+/_\-.~])")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]|[A-Z][a-z]+[A-Z]")
@@ -233,8 +235,16 @@ def fit(docs: DataFrame, findings: DataFrame | None = None, most_words: int = 50
     rows = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
     # runs of letters alone: the letters of a key with digits are no words
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\s\p{Punct}]+"), lambda w: w.rlike(r"^\p{L}{2,14}$")))
-    found = rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most_words).collect()
-    dictionary = [r["w"] for r in found]
+    made: list[DataFrame] = []
+    counts = materialise(rows.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words", made)
+    # each task would send its own most frequent words: only those as frequent as the last one wanted, by powers of two
+    level, least, above = F.floor(F.log2(F.col("n"))).cast("int"), 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        least, above = r["level"], above + r["words"]
+        if above >= most_words:
+            break
+    dictionary = [r["w"] for r in counts.filter(level >= least).orderBy(F.desc("n"), "w").limit(most_words).collect()]
+    discard(*made)
     if findings is None:
         labelled = example_findings(dictionary[:1500])
     else:

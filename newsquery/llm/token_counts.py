@@ -54,8 +54,8 @@ def token_counts(
     """(id, n_bytes, n_tokens, over_limit) of every whole text.
 
     One narrow stage: no shuffle, and texts never leave the executor. Each Arrow batch is regrouped by bytes
-    into calls of about ``batch_bytes``; longer texts are split where the vocabulary allows it, so a call's
-    memory is bounded by the two parameters and not by the longest text.
+    into calls of about ``batch_bytes``; texts over ``part_chars`` are split at spaces between ASCII letters or
+    digits, where the vocabulary allows it. A text without such spaces, or for another vocabulary, is one call.
 
     Null and empty texts: 0 bytes, 0 tokens, not over the limit. A null id is kept as null. Repeated rows give
     repeated rows. Other columns, whatever their names, are not read.
