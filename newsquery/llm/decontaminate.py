@@ -54,6 +54,7 @@ class Items:
         words, _, _, ends, _ = words_of([t for _, t in rows], letters_only=True)
         self.ids = [i for i, _ in rows]
         self.words = np.split(words, ends[:-1]) if rows else []
+        self.vocabulary = [np.unique(w) for w in self.words]
         seeds, owner, place = [], [], []
         for k, w in enumerate(self.words):
             g = ngram_hashes(w, min(n, max(1, len(w)))) if len(w) else np.empty(0, np.uint64)
@@ -116,7 +117,12 @@ class Items:
                     continue
                 covered = b
                 lo, hi = max(0, b - slack), min(len(words), b + m + 2 * slack)
-                found = align(item, words[lo:hi])
+                # no alignment has more equal words than the window has words of the item
+                own = self.vocabulary[k]
+                window = words[lo:hi]
+                if np.count_nonzero(own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window) < least * m:
+                    continue
+                found = align(item, window)
                 if found[0] > best[0]:
                     best = (found[0], found[1], found[2] + lo, found[3] + lo)
             score = best[0] / (MATCH * m)
