@@ -33,7 +33,7 @@ _CUT = re.compile(r"(?<=[!-~¡-ԧ])(?= [!-~¡-ԧ])")
 #: that stands for a cut meanwhile.
 _BEGIN, _ODD, _MARK = r"^ [!-~¡-ԧ]", r"[^!-~¡-ԧ] | [^!-~¡-ԧ]|^ | $|\x1f", "\x1f"
 #: Longer parts are encoded but not remembered, and so many are remembered by a task: bounds of memory only.
-MOST_BYTES, MOST_PARTS = 64, 1 << 17
+MOST_BYTES, MOST_PARTS, ROW_BYTES = 64, 1 << 18, 1 << 16
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,8 +66,9 @@ class _Parts:
         ids = np.empty(0, "<u4")
         if len(row):
             lengths = pc.binary_length(row).to_numpy()
-            text = "".join(row.to_pylist())
-            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            # the library takes some hundred bytes for each byte of a call
+            rows = ["".join(row[a:b].to_pylist()) for a, b in slices(lengths.tolist(), ROW_BYTES)]
+            ids = np.concatenate([np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4") for text in rows])
             ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(lengths)) + 1
             sizes[at] = np.diff(ends, prepend=0)
             starts[at] = ends - sizes[at]
@@ -163,7 +164,7 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, batch_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, capacity: int = 1024, batch_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every whole text, ``end_id`` appended; a null text counts as empty."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
